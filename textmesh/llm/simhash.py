@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, partitions, words
+from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, mix64, partitions, word_hashes, words
+from textmesh.llm.substring import window_hashes
 
 SHINGLE = 4
 DISTANCE = 4
@@ -78,7 +79,7 @@ def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) ->
 def _bit_sums(h: np.ndarray) -> np.ndarray:
     total = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 18):
-        total += np.unpackbits(h[lo : lo + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        total += np.unpackbits(h[lo : lo + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return total
 
 
@@ -93,8 +94,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, fp long")
 
 
-def plan_segments(n: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each segment, for n distinct fingerprints."""
+def plan_segments(n: int, distance: int, counts: tuple[int, ...] = (2, 3)) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius) of each segment, for n distinct fingerprints; of
+    the numbers of segments the one with the least expected work."""
 
     def cut(m: int) -> list[tuple[int, int, int]]:
         bits = [64 // m + (i < 64 % m) for i in range(m)]
@@ -109,7 +111,7 @@ def plan_segments(n: int, distance: int) -> list[tuple[int, int, int]]:
             total += term
         return total
 
-    options = [cut(m) for m in (2, 3)]
+    options = [cut(m) for m in counts]
     return min(options, key=lambda s: sum(ball(b, r) * (1 + n / 2**b) for _, b, r in s))
 
 
@@ -228,12 +230,12 @@ def _verify(distance: int):
     return run
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT, counts: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Links (a, b), a < b, that connect what the links of `distance` bits
     between the distinct values of fps.fp connect.  A link may come from
     several keys; groups of a key give a spanning forest of theirs."""
     n = partitions(fps.sparkSession)
-    segments = plan_segments(fps.count(), distance)
+    segments = plan_segments(fps.count(), distance, counts)
     rows = fps.select("fp", _rows(segments))
     crowded = rows.where("probe = 0").groupBy("key").count().where(F.col("count") > hot)
     crowded = checkpoint(crowded.select("key", F.ceil(F.col("count") / hot).cast("int").alias("salts")))
@@ -258,5 +260,110 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Near-duplicates whose five-word shingles agree: fingerprints propose, sketches decide.
+
+#: Bits in which the fingerprints of two texts to compare may differ; the least Jaccard similarity.
+PROPOSE, SIMILARITY = 7, 0.8
+#: Least hashes of a text's shingles that are kept; with no more shingles the similarity is exact.
+SKETCH = 128
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
+def _shingled(h: np.ndarray, doc: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct shingles; a shorter text is one."""
+    own = doc[: max(0, len(h) - size + 1)] == doc[size - 1 :] if len(h) >= size else np.zeros(0, bool)
+    at = np.flatnonzero(own)
+    count = np.bincount(doc, minlength=n)
+    short = np.flatnonzero((count > 0) & (count < size))
+    first = np.searchsorted(doc, short)
+    whole = np.array([window_hashes(h[a : a + c], c)[0] for a, c in zip(first.tolist(), count[short].tolist(), strict=True)], np.uint64)
+    return _distinct(np.concatenate((doc[at], short)), np.concatenate((window_hashes(h, size)[at], whole)))
+
+
+def _profile(shingle: int, sketch: int):
+    """(doc_id, copy, fp, sketch) of every row: the SimHash of the distinct
+    word pairs and the least 32-bit hashes of the distinct shingles."""
+
+    def run(it):
+        for batch, buf, off in batches(it):
+            n = batch.num_rows
+            starts, ends, doc = words(buf, off)
+            h = word_hashes(buf, starts, ends, lower=True)
+            d, pair = _shingled(h, doc, n, 2)
+            cut = np.searchsorted(d, np.arange(n + 1))
+            fp = np.zeros(n, np.uint64)
+            for i in range(n):
+                if cut[i + 1] > cut[i]:
+                    major = 2 * _bit_sums(pair[cut[i] : cut[i + 1]]) > cut[i + 1] - cut[i]
+                    fp[i] = np.packbits(major, bitorder="little").view(np.uint64)[0]
+            d, s = _shingled(h, doc, n, shingle)
+            d, s = _distinct(d, mix64(s) >> np.uint64(32))
+            cut = np.searchsorted(d, np.arange(n + 1))
+            low = [s[a : min(b, a + sketch)].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), pa.array(low, pa.binary())], names=["doc_id", "copy", "fp", "sketch"])
+
+    return run
+
+
+def similarity(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
+    """Jaccard similarity from two sketches; both empty: 1."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)
+    if len(x) >= sketch or len(y) >= sketch:
+        both = both[:sketch]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def _similar(least: float, sketch: int):
+    def run(it):
+        for batch in it:
+            keep = [similarity(x.as_py(), y.as_py(), sketch) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, distance: int = PROPOSE, sketch: int = SKETCH) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that with the
+    smallest doc_id.
+
+    Equal texts are one entry.  SimHash fingerprints of the distinct word
+    pairs propose pairs of texts by multi-index hashing; a pair is a link if
+    the similarity of the distinct shingles, lower-cased, is `least` or more,
+    exactly for texts of up to `sketch` shingles and as estimated from the
+    `sketch` least hashes for longer ones.  Groups are the components of the
+    links.  Rows that repeat the doc_id of the kept document stay with it;
+    null text counts as empty, and texts without words are one group; a row
+    without doc_id stays only if its group has no doc_id.
+    """
+    copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), F.col("text").cast("string").alias("text"))
+    each = base.mapInArrow(_profile(shingle, sketch), "doc_id long, copy string, fp long, sketch binary")
+    texts = checkpoint(each.groupBy("copy").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.count("*").alias("n")))
+    lead = texts.groupBy("fp").agg(F.min("copy").alias("lead"))
+    pairs = links(lead.select("fp"), distance, counts=(2, 3, 4)).distinct()
+    far = pairs.join(lead.withColumnsRenamed({"fp": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"fp": "b", "lead": "y"}), "b").select("x", "y")
+    same = texts.select("fp", F.col("copy").alias("y")).join(lead, "fp").where("lead <> y").select(F.col("lead").alias("x"), "y")
+    proposed = far.unionByName(same)
+    held = texts.select("copy", "sketch")
+    proposed = proposed.join(held.withColumnsRenamed({"copy": "x", "sketch": "sx"}), "x").join(held.withColumnsRenamed({"copy": "y", "sketch": "sy"}), "y")
+    links_ = proposed.select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy").mapInArrow(_similar(least, sketch), "a string, b string")
+    groups = components(links_).withColumnRenamed("node", "copy")
+    member = texts.select("copy", "low", "n").join(groups, "copy", "left").select("copy", "low", "n", F.coalesce("root", "copy").alias("root"))
+    kept = member.groupBy("root").agg(F.min("low").alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    decided = member.join(kept, "root").select(F.col("copy").alias("__copy"), F.col("kept").alias("__kept"), F.lit(True).alias("__grouped"))
+    j = docs.withColumn("__copy", copy).join(decided, "__copy", "left")
+    return j.where(F.col("__grouped").isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op9_simhash(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -447,6 +447,25 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
+def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """doc_id, ids, n_tokens and round_trip: whether decoding the ids gives the
+    text back, with U+2581 as a space."""
+    shared = _share(docs.sparkSession, path)
+
+    def run(it):
+        model = shared.value.prepare()
+        for batch, buf, off in batches(it, STEP_BYTES):
+            data = buf.tobytes()
+            texts = [data[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)]
+            at, got = model.encode(texts)
+            back = model.decode(at, got.astype(np.int64))
+            same = [a == b.replace("▁", " ") for a, b in zip(back, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got)), pa.array(np.diff(at)), pa.array(same)], names=["doc_id", "ids", "n_tokens", "round_trip"])
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return base.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+
+
 def op10_sentencepiece(spark, sf_dir):
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
