@@ -161,10 +161,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(spark: SparkSession, per_partition: int = 4, least: int = 64, most: int = 65536) -> int:
-    """A power of two of hash buckets: several for each shuffle partition, so
-    that one bucket is a small part of what a task may hold."""
-    want = min(most, max(least, per_partition * partitions(spark)))
+def buckets_for(spark: SparkSession, least: int = 64, most: int = 65536) -> int:
+    """A power of two of hash buckets, at least one for each shuffle partition,
+    so that one bucket is no more than a task may hold."""
+    want = min(most, max(least, partitions(spark)))
     return 1 << (want - 1).bit_length()
 
 
