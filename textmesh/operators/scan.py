@@ -206,7 +206,7 @@ def diagnostics(df: DataFrame, matcher: Matcher, column: str = "text") -> DataFr
                 start, _, _ = m.events(units, rows)
                 states = sum(len(a.state_sets) for a in m.automata)
                 made = sum(int((a.table[: len(a.state_sets)] >= 0).sum()) for a in m.automata)
-                row = [hi - _lo, len(units), len(units) * len(m.automata), len(start), len(m.automata), sum(a.facts for a in m.automata), states, made, m.budget]
+                row = [hi - _lo, len(units), len(units) * len(m.automata), len(start), len(m.automata), sum(a.facts for a in m.automata), states, made, sum(a.budget for a in m.automata)]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=_COUNTERS)
 
     return df.select(column).mapInArrow(run, ", ".join(f"{c} long" for c in _COUNTERS))

@@ -19,7 +19,7 @@ from textmesh.streaming.scan import scan_stream
 QUERIES, ORACLE = {}, {}
 
 
-def matcher(patterns, budget: int = 8192, workers: int = 1, prefilter: bool = True, fold: bool = False):
+def matcher(patterns, budget: int | None = None, workers: int = 1, prefilter: bool = True, fold: bool = False):
     b = MatcherBuilder().state_cache_budget(budget).worker_count(workers).prefilter_enabled(prefilter)
     for i, p in patterns:
         b.add(i, p, CASE_INSENSITIVE if fold else 0)
