@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step takes at once; longer documents go alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a record batch that Spark hands to Python at most.
+BATCH_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -135,6 +137,29 @@ def unplanes(b: memoryview | bytes, dtype, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * size).reshape(size, n).T).view(dtype).ravel()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose record batches are bounded by BATCH_BYTES: the
+    default, 64 MB, counts several times in the JVM and in each Python worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for a long: XXH64 of its 8 bytes, seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(v, r):
+        return (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+
+    h = turn((p5 + np.uint64(50)) ^ (turn(x.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def checkpoint_base(spark: SparkSession) -> str:
     """Spark's checkpoint folder, set to a temporary one only where it is
     unset and the master is local."""
@@ -161,10 +186,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(spark: SparkSession, least: int = 64, most: int = 65536) -> int:
-    """A power of two of hash buckets, at least one for each shuffle partition,
-    so that one bucket is no more than a task may hold."""
-    want = min(most, max(least, partitions(spark)))
+def buckets_for(spark: SparkSession, each: int = 1, least: int = 64, most: int = 65536) -> int:
+    """A power of two of hash buckets, at least `each` for each shuffle
+    partition, so that one bucket is no more than a task may hold."""
+    want = min(most, max(least, each * partitions(spark)))
     return 1 << (want - 1).bit_length()
 
 

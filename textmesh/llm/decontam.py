@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import _LOWER, batches, mix64, powers
+from textmesh.llm.common import _LOWER, batches, mix64, powers, small_batches
 from textmesh.llm.substring import window_hashes
 
 K1, B = 1.2, 0.75
@@ -229,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ov
                 names=["doc_id", "contaminated", "item_ids", "score"],
             )
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, score double")
 
 
@@ -242,7 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
             keep = [not i for i, _ in _matches(index.value, buf, off, overlap)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_decontamination(spark, sf_dir):

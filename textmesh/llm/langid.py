@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import LOWER_TABLE, batches
+from textmesh.llm.common import LOWER_TABLE, batches, small_batches
 
 LONGEST = 3
 LANDMARKS = 128
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, learn: Column, sample: int = SAMPLE, landmarks: in
     """doc_id, lang_pred and score of every row; learn: boolean column over
     doc_id of the rows that may be learnt from, where lang is not null."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnt = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
     lang, chosen = _sample(learnt.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")), sample, landmarks)
     if not lang:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches
+from textmesh.llm.common import batches, small_batches
 
 WIDTH = 64
 LEVEL = 3
@@ -177,7 +177,7 @@ def write_images(docs: DataFrame) -> DataFrame:
             media = [encode_png(to_payload(data[a:b])) for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _IMAGES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _IMAGES)
 
 
 def read_images(images: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def read_images(images: DataFrame) -> DataFrame:
                         error.append(str(e))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payload, pa.binary()), pa.array(feature, pa.string()), pa.array(error, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature", "error"])
 
-    return images.select("doc_id", "n_bytes", "media").mapInArrow(run, _READ)
+    return small_batches(images).select("doc_id", "n_bytes", "media").mapInArrow(run, _READ)
 
 
 def op7_media(spark, sf_dir):

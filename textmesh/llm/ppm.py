@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches, checkpoint, ids_of, word_hashes, words
+from textmesh.llm.common import batches, checkpoint, ids_of, small_batches, word_hashes, words
 
 ORDER = 5
 #: Symbols for each occurrence that a context of the trie needs.
@@ -288,7 +288,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, rare: int = R
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte; held_out: boolean column over doc_id of what isn't learnt."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnt = base.where(~held_out)
     model = train(learnt, order, rare)
     n_train = learnt.count()

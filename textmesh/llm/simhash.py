@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, mix64, partitions, word_hashes, words
+from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, mix64, partitions, small_batches, word_hashes, words
 from textmesh.llm.substring import window_hashes
 
 SHINGLE = 4
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch, buf, off in batches(it):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(buf, off, shingle).view(np.int64))], names=["doc_id", "fp"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -131,10 +131,15 @@ def _rows(segments) -> Column:
         made.append(F.array(F.struct(value.alias("key"), F.lit(0).alias("probe"))))
         if masks := _masks(bits, radius):
             balls = F.array(*(F.lit(m).cast("long") for m in masks))
-            made.append(F.transform(balls, lambda m, v=value: F.struct(v.bitwiseXOR(m).alias("key"), F.lit(1).alias("probe"))))
+            made.append(F.transform(balls, _probe(value)))
     return F.inline(F.concat(*made))
 
 
+def _probe(value: Column):
+    """A function of one argument, as a second one would be the index."""
+    return lambda mask: F.struct(value.bitwiseXOR(mask).alias("key"), F.lit(1).alias("probe"))
+
+
 def _forest(table: np.ndarray, probes: np.ndarray, distance: int) -> tuple[list, list]:
     """Spanning edges of the links inside `table` and between it and `probes`."""
     a, b = [], []
@@ -346,7 +351,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
     without doc_id stays only if its group has no doc_id.
     """
     copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), F.col("text").cast("string").alias("text"))
     each = base.mapInArrow(_profile(shingle, sketch), "doc_id long, copy string, fp long, sketch binary")
     texts = checkpoint(each.groupBy("copy").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.count("*").alias("n")))
     lead = texts.groupBy("fp").agg(F.min("copy").alias("lead"))

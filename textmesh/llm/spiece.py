@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches, mix64, powers
+from textmesh.llm.common import batches, mix64, powers, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Longer words of BPE models are merged with a heap.
 LONG = 96
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -265,7 +265,7 @@ class Model:
         back = np.zeros((size + 1, n), np.int64)
         bpe, mask = self.kind == BPE, np.uint64((1 << 20) - 1)
         for i in range(1, size + 1):
-            for k in range(1, min(i, self.longest) + 1):
+            for k in range(min(i, self.longest), 0, -1):  # of equal values the longest last piece stays
                 j = i - k
                 key = mix64((prefix[i] - prefix[j]) * inv[j] + np.uint64(k))
                 row = np.flatnonzero(self.sieve[(key & mask).astype(np.int64)])
@@ -401,7 +401,7 @@ def encode(docs: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame:
             at, got = model.encode([data[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got))], names=["doc_id", ids])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, `{ids}` array<int>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, `{ids}` array<int>")
 
 
 def decode(tokens: DataFrame, path: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -443,7 +443,7 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
             same = [a == b.replace("▁", " ") for a, b in zip(back, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(sha), pa.array(sha_back), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
@@ -462,7 +462,7 @@ def encode_checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
             same = [a == b.replace("▁", " ") for a, b in zip(back, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(got)), pa.array(np.diff(at)), pa.array(same)], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 

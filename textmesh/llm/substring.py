@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches, buckets_for, ids_of, mix64, partitions, planes, powers, unplanes, utf8, word_hashes, words
+from textmesh.llm.common import batches, buckets_for, ids_of, mix64, partitions, planes, powers, small_batches, spark_hash, unplanes, utf8, word_hashes, words
 
 WINDOW = 50
 #: Windows that a task reduces among themselves before it writes them.
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 1_000_000
 
 _BASE = np.uint64(0xA24BAED4963EE407)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -81,7 +81,7 @@ def _marks(doc, pos, h, shards: int):
     """(shard, payload) of marked windows; a mark keeps 32 bits of the hash."""
     if not len(doc):
         return
-    shard = (mix64(doc.view(np.uint64)) & np.uint64(shards - 1)).astype(np.uint32)
+    shard = (spark_hash(doc) & np.uint64(shards - 1)).astype(np.uint32)
     order = np.lexsort((pos, doc, shard))
     doc, pos, h, shard = doc[order], pos[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), shard[order]
     cuts = np.flatnonzero(np.diff(shard)) + 1
@@ -181,9 +181,9 @@ def _smallest(shards: int):
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(bucket, payload): the marked windows of all documents, in shards."""
     spark = docs.sparkSession
-    nb = shards = buckets_for(spark)
+    nb, shards = buckets_for(spark, 2), buckets_for(spark)
     schema = "bucket int, payload binary"
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_reduce(window, nb, shards), schema)
+    found = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_reduce(window, nb, shards), schema)
     return found.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_smallest(shards), schema)
 
 
@@ -244,19 +244,11 @@ def _joined(docs: DataFrame, window: int, extra: list[tuple[str, str]]) -> DataF
     shards = buckets_for(docs.sparkSession)
     names = [*docs.columns, *(f"__{n}" for n, _ in extra)]
     out = docs.limit(0).select("*", *(F.lit(None).cast(t).alias(f"__{n}") for n, t in extra))
-    keyed = docs.mapInArrow(_sharded(shards), docs.withColumn("__shard", F.lit(0)).schema)
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max))
+    keyed = docs.withColumn("__shard", F.xxhash64(order).bitwiseAND(F.lit(shards - 1)).cast("int"))
     return keyed.groupBy("__shard").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(window, names, _arrow_schema(out)), out.schema)
 
 
-def _sharded(shards: int):
-    def run(it):
-        for batch in it:
-            s = (mix64(ids_of(batch, "doc_id").view(np.uint64)) & np.uint64(shards - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "__shard"])
-
-    return run
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text and the removed word
     intervals [start, end) of every document."""

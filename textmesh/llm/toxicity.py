@@ -5,7 +5,8 @@ the presence of words; each regression also gets the log odds of the earlier
 categories.  While fitting, those are predictions out of fold: for each of
 `FOLDS` parts of the sample they come from a model, feature choice included,
 that has not seen the part.  While scoring, models of the whole sample give
-them.  A category's threshold is the one with the best F1 out of fold.
+them.  A category's threshold is the one with the best F1 out of fold, among
+those whose precision there is `PRECISION` or more.
 
 Words are runs of ASCII letters and bytes beyond ASCII, lower-cased.  A model
 uses the `WORDS` words whose presence differs most between its classes.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import _LOWER, batches, mix64, powers
+from textmesh.llm.common import _LOWER, batches, mix64, powers, small_batches
 
 #: (name, condition over the columns of labels) in the chain's order.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
@@ -39,6 +40,10 @@ WORDS = 192
 #: Sample documents of a fold that a word needs.
 SEEN = 5
 RIDGE = 1.0
+#: Share of right rejections that a threshold has out of fold.
+PRECISION = 0.9
+#: Standard errors by which a word's presence in the two classes differs at least.
+LEAST_Z = 3.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -97,7 +102,7 @@ def fit(n: int, doc: np.ndarray, h: np.ndarray, earlier: np.ndarray, y: np.ndarr
     pool = both / n
     z = np.where(both >= min(SEEN, n), np.abs(p - q) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / n1 + 1 / (n - n1)), 1e-12)), -1)
     best = np.sort(np.lexsort((vocabulary, -z))[:words])
-    best = best[z[best] > 0]
+    best = best[z[best] >= LEAST_Z]
     column = np.full(len(vocabulary), -1)
     column[best] = np.arange(len(best))
     x = np.zeros((n, len(best) + earlier.shape[1] + 1))
@@ -118,14 +123,18 @@ def fit(n: int, doc: np.ndarray, h: np.ndarray, earlier: np.ndarray, y: np.ndarr
     return Regression(vocabulary[best], w[: len(best)], w[len(best) : -1], float(w[-1]))
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Between the probabilities where F1 is greatest; 0.5 if it can't be told."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """Between the probabilities where F1 is greatest among the thresholds of
+    that precision or more; 0.5 if there is none."""
     if not y.any() or y.all():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     last = np.append(p[order][1:] != p[order][:-1], True)
+    last &= hits >= precision * np.arange(1, len(p) + 1)
+    if not last.any():
+        return 0.5
     k = int(np.argmax(np.where(last, f1, -1)))
     low = p[order][k]
     return float(low + (p[order][k + 1] if k + 1 < len(p) else 0.0)) / 2
@@ -184,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     return models, cuts
 
 
-def _predict(chain, categories, keep: list[str], schema: pa.Schema | None):
+def _predict(chain, categories, keep: list[str]):
     def run(it):
         models, cuts = chain.value
         for batch, buf, off in batches(it):
@@ -212,7 +221,7 @@ def _classified(docs: DataFrame, labels: DataFrame, categories, sample: int) ->
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, sample))
     made = [(f"__p_{n}", "double") for n, _ in categories], [(f"__is_{n}", "boolean") for n, _ in categories]
     schema = docs.limit(0).select("*", *(F.lit(None).cast(t).alias(c) for pair in zip(*made, strict=True) for c, t in pair)).schema
-    return docs.mapInArrow(_predict(chain, categories, docs.columns, None), schema)
+    return small_batches(docs).mapInArrow(_predict(chain, categories, docs.columns), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", categories=CATEGORIES, sample: int = SAMPLE) -> DataFrame:
