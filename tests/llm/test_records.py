@@ -1,7 +1,7 @@
 """URL filter and revisit resolution: DataFrame operators against plain code."""
 
+import hashlib
 import math
-import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmesh.llm import url_lm, warc
+from textmesh.llm.queries import ORACLE_SQL, QUERIES
 
 BAD = [(None, None), (1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://A.Example.COM"), (6, "x://a.com/é?q#f"), (6, "x://a.com/é?q#f"), (7, "http://Example.com/en/x"), (8, "http://www.example.com/en/x"), (9, "http://example.net/es/" + "y" * 20000), (10, "http://notexample.com/en/?a"), (11, "http://a.net/fr/#x://b"), (12, "http://a.net?x")]
 
@@ -38,7 +39,7 @@ def brute(rows, order=url_lm.ORDER):
         t = u or ""
         n, _, role, ok = texts.get(t, (0, None, None, None))
         hit = rule_of(*host_path(u))
-        texts[t] = (n + 1, hit, 0 if not hit else 1 if zlib.crc32(t.encode()) % 5 == 0 else 2, hit and hit[1] == "allow")
+        texts[t] = (n + 1, hit, 0 if not hit else 1 if hashlib.md5(t.encode()).hexdigest()[0] in "012" else 2, hit and hit[1] == "allow")
     counts = {ok: [defaultdict(Counter) for _ in range(order + 1)] for ok in (True, False)}
     pad = lambda t: "\u0002" * order + t + "\u0003"
     for t, (n, _, role, ok) in texts.items():
@@ -127,9 +128,11 @@ def test_canonical(spark, url):
     assert r == {"http://A.b/c/?z=1&a=2&utm_x=3#f": "a.b/c?a=2&z=1", "//x": "//x", "": "", "HTTPS://www.x.y:443": "x.y"}[url]
 
 
-def test_query_against_sql(spark, sf_dir):
-    con = duckdb.connect()
-    con.sql(f"create view pages as select * from '{sf_dir}/pages.parquet'")
-    df = warc.op5_warc_revisits(spark, sf_dir)
-    want = con.sql(warc.OP5_SQL)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    con, d = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("pages", "documents"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    df = QUERIES[name](spark, d)
+    want = con.sql(ORACLE_SQL[name])
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want.fetchall())) and df.columns == want.columns

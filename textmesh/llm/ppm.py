@@ -16,8 +16,8 @@ trie becomes a finite automaton (its contexts are closed under prefix and
 suffix), and documents are scored as equal pieces in lock step, each piece
 warmed up on the bytes before it, which gives exactly the unbroken result.
 
-The base score needs the count of every word.  Words among the `TOP` most
-frequent, a fixed number, are broadcast; the others are joined.
+The base score needs the count of every word.  Words that are at least one of
+every `TOP` tokens, so at most `TOP` words, are broadcast; the others are joined.
 
 Defined results: null text is the empty text; a null doc_id is not held out;
 repeated rows are repeated; without training documents all symbols are equally
@@ -38,8 +38,8 @@ from textmesh.llm.common import batches, checkpoint, ids_of, small_batches, word
 ORDER = 5
 #: Symbols for each occurrence that a context of the trie needs.
 RARE = 100_000
-#: Most frequent words whose counts are broadcast.
-TOP = 65_536
+#: Words that are one of so many tokens or more are broadcast: no more words than this number.
+TOP = 1_000_000
 END, START = 256, 257
 SYMBOLS = 257
 _BITS = 9
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, rare: int = R
     counts = checkpoint(learnt.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = tokens + n_train, kinds + (n_train > 0)
-    top_h, top_n = _columns(counts.orderBy(F.desc("n"), "h").limit(top).select("h", "n"))
+    top_h, top_n = _columns(counts.where(F.col("n") * top >= tokens).select("h", "n"))
     by_h = np.argsort(top_h.view(np.uint64))
     shared = spark.sparkContext.broadcast((top_h.view(np.uint64)[by_h], top_n[by_h], n_train))
     scored = base.mapInArrow(_score(spark.sparkContext.broadcast(model), shared), "doc_id long, n_tokens long, score double, known long, logs double, rare array<long>, times array<int>")

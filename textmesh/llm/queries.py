@@ -6,9 +6,9 @@ from textmesh.llm.png_media import op7_media
 from textmesh.llm.ppm import op4_ppm
 from textmesh.llm.simhash import op9_simhash
 from textmesh.llm.spiece import op10_sentencepiece
-from textmesh.llm.substring import op6_substring
+from textmesh.llm.substring import OP6_SQL, op6_substring
 from textmesh.llm.toxicity import op1_toxicity
-from textmesh.llm.url_lm import op2_url_filter
+from textmesh.llm.url_lm import OP2_SQL, op2_url_filter
 from textmesh.llm.warc import OP5_SQL, op5_warc_revisits
 
 QUERIES = {
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_warc_revisits": OP5_SQL, "op6_substring": OP6_SQL}

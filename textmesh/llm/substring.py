@@ -268,3 +268,26 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op6_substring(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents
+), t AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), k AS (
+  SELECT doc_id, i, md5(string_agg(word, ' ') OVER s) AS h, count(*) OVER s AS n FROM t
+  WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), m AS (
+  SELECT h, min(doc_id) AS first FROM k WHERE n = 50 GROUP BY h
+), f AS (
+  SELECT DISTINCT doc_id, i FROM k JOIN m USING (h) WHERE n = 50 AND first < doc_id
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM f
+), r AS (
+  SELECT t.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY t.i) AS kept
+  FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""

@@ -27,8 +27,8 @@ from textmesh.llm.common import checkpoint
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 ORDER = 3
-#: One labelled URL of so many calibrates; the others train.
-CALIBRATE = 5
+#: Labelled URLs whose MD5 begins with one of these digits calibrate; the others train.
+CALIBRATE = "012"
 #: Bins of the calibration's histogram for each unit of score, and its range.
 BINS, RANGE = 200, 20
 #: Characters that a model reserves probability for.
@@ -114,7 +114,7 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     host, path = host_path(F.col("url"))
     base = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", F.coalesce("url", F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
     base = base.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    role = F.when(F.col("hit").isNull(), 0).when(F.pmod(F.crc32("text"), F.lit(CALIBRATE)) == 0, 1).otherwise(2)
+    role = F.when(F.col("hit").isNull(), 0).when(F.substring(F.md5("text"), 1, 1).isin(*CALIBRATE), 1).otherwise(2)
     base = base.withColumn("role", role).withColumn("accepted", F.col("hit.verdict") == "allow")
     texts = base.groupBy("text").agg(F.count("*").alias("times"), F.first("role").alias("role"), F.first("accepted").alias("accepted"))
     train = F.when(F.col("role") == 2, F.col("times")).otherwise(0)
@@ -133,3 +133,44 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
 
 def op2_url_filter(spark, sf_dir):
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+def _sql(order: int = ORDER) -> str:
+    """The same judgement as DuckDB SQL."""
+    rules = ", ".join("('{}', '/{}', '{}')".format(*r.split("/", 1), v) for v, r in RULES)
+    steps, before = [], ("CAST(1 AS DOUBLE) / 65536", "CAST(1 AS DOUBLE) / 65536")
+    for k in range(order + 1):
+        end, ctx = f"substr(x.gram, {order - k + 1}, {k + 1})", f"substr(x.gram, {order - k + 1}, {k})"
+        steps.append(f"""e{k} AS (SELECT substr(gram, {order - k + 1}, {k + 1}) AS e, sum(a) AS a, sum(r) AS r FROM t GROUP BY 1),
+c{k} AS (SELECT substr(e, 1, {k}) AS c, sum(a) AS ta, sum(r) AS tr, count(*) FILTER (a > 0) AS da, count(*) FILTER (r > 0) AS dr FROM e{k} GROUP BY 1),
+p{k} AS (SELECT x.gram, CASE WHEN ta > 0 THEN (e.a + da * {before[0]}) / (ta + da) ELSE {before[0]} END AS pa, CASE WHEN tr > 0 THEN (e.r + dr * {before[1]}) / (tr + dr) ELSE {before[1]} END AS pr
+  FROM {'t' if k == 0 else f'p{k - 1}'} x JOIN e{k} e ON e.e = {end} JOIN c{k} c ON c.c = {ctx})""")
+        before = ("x.pa", "x.pr")
+    return f"""WITH u AS (
+  SELECT page_id, coalesce(url, '') AS text, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages
+), h AS (
+  SELECT page_id, text, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), hits AS (
+  SELECT h.*, r.own || r.tail AS rule, r.verdict FROM h LEFT JOIN (VALUES {rules}) AS r(own, tail, verdict) ON (h.host = r.own OR ends_with(h.host, '.' || r.own)) AND starts_with(h.path, r.tail)
+  QUALIFY row_number() OVER (PARTITION BY h.page_id, h.text ORDER BY length(r.own || r.tail) DESC NULLS LAST) = 1
+), texts AS (
+  SELECT text, count(*) AS times, any_value(CASE WHEN verdict IS NULL THEN 0 WHEN substr(md5(text), 1, 1) IN ('0', '1', '2') THEN 1 ELSE 2 END) AS role, any_value(verdict = 'allow') AS accepted FROM hits GROUP BY text
+), g AS (
+  SELECT text, substr(repeat(chr(2), {order}) || text || chr(3), CAST(i AS BIGINT), {order + 1}) AS gram, CASE WHEN role = 2 AND accepted THEN times ELSE 0 END AS a, CASE WHEN role = 2 AND NOT accepted THEN times ELSE 0 END AS r
+  FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM texts)
+), t AS (
+  SELECT gram, sum(a) AS a, sum(r) AS r FROM g GROUP BY gram
+), {", ".join(steps)},
+scores AS (
+  SELECT text, round(sum(ln(pa) - ln(pr)) / count(*), 6) AS score FROM g JOIN p{order} USING (gram) GROUP BY text
+), hist AS (
+  SELECT greatest(least(floor(score * {BINS}), {BINS * RANGE}), -{BINS * RANGE}) AS bin, count(*) FILTER (accepted) AS yes, count(*) FILTER (NOT accepted) AS no FROM texts JOIN scores USING (text) WHERE role = 1 GROUP BY 1
+), gains AS (
+  SELECT bin, sum(yes) OVER () AS yes, sum(no) OVER () AS no, coalesce(sum(yes) OVER b, 0) AS missed, coalesce(sum(no) OVER b, 0) AS caught FROM hist WINDOW b AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT coalesce((SELECT bin / {BINS} FROM gains WHERE yes > 0 AND no > 0 ORDER BY round((yes - missed) / yes + caught / no, 10) DESC, bin LIMIT 1), 0) AS threshold
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, score, CAST(threshold AS DOUBLE) AS threshold FROM hits JOIN scores USING (text), cut"""
+
+
+OP2_SQL = _sql()
