@@ -162,3 +162,11 @@ def test_counts_by_aggregate(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     m = matcher("the", "of")
     assert rows(ev.pattern_counts(sc.scan(df, m))) == rows(sc.counts(df, m).groupBy("pattern_id").agg(F.sum("n")))
+
+
+def test_diagnostics(spark):
+    df = spark.createDataFrame([("xxab",), ("ab",), (None,)], "text string").coalesce(1)
+    r = sc.diagnostics(df, matcher("ab", r"\bx")).first().asDict()
+    assert r["texts"] == 3 and r["units"] == 6 and r["starts"] == 12 and r["admitted_starts"] == 4 and r["events"] == 3 and r["automata"] == 2 and r["assertion_automata"] == 1
+    off = MatcherBuilder().add(1, "ab").prefilter_enabled(False).literal_prefilter_enabled(False).cohort_compilation_enabled(False).build()
+    assert sc.diagnostics(df, off).first().admitted_starts == 6

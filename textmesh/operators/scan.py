@@ -15,14 +15,13 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from textmesh.functions import utf16_batch
+from textmesh.plans.automaton import COUNTERS
 from textmesh.plans.matcher import Matcher
 
 EVENTS = "array<struct<pattern_id: bigint, start: bigint, end: bigint>>"
 COUNTS = "array<struct<pattern_id: bigint, n: bigint>>"
 #: Code units that one step of a batch scans; a longer text goes alone.
 STEP_UNITS = 4 << 20
-#: Matchers with more patterns than this aren't turned into Spark conditions.
-_REAL = [("pattern_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
 
 
 def _share(df_or_spark, matcher: Matcher):
@@ -112,7 +111,7 @@ def row_filter(matcher: Matcher, text: Column) -> Column | None:
 
 
 def _source(df: DataFrame, matcher: Matcher, column: str, outer: bool) -> DataFrame:
-    if matcher.prefilter and not outer and isinstance(df.schema[column].dataType, StringType) and (keep := row_filter(matcher, F.col(column))) is not None:
+    if matcher.prefilter and matcher.literal_prefilter and not outer and isinstance(df.schema[column].dataType, StringType) and (keep := row_filter(matcher, F.col(column))) is not None:
         return df.where(keep)
     return df
 
@@ -196,20 +195,19 @@ def register(spark, name: str, matcher: Matcher) -> None:
 
 
 def diagnostics(df: DataFrame, matcher: Matcher, column: str = "text") -> DataFrame:
-    """Counters of a scan, one row for each batch of the input; sum them up."""
+    """Counters of a scan, one row for each step of a batch: add them up, but
+    for peak_states and the last four, which are the same or a maximum."""
     shared = _share(df, matcher)
+    names = ["texts", "units", *COUNTERS, "automata", "assertion_automata", "patterns", "state_budget"]
 
     def run(it):
         m = shared.value
         for batch in it:
-            for _lo, hi, units, rows in _steps(batch.column(0)):
-                start, _, _ = m.events(units, rows)
-                states = sum(len(a.state_sets) for a in m.automata)
-                made = sum(int((a.table[: len(a.state_sets)] >= 0).sum()) for a in m.automata)
-                row = [hi - _lo, len(units), len(units) * len(m.automata), len(start), len(m.automata), sum(a.facts for a in m.automata), states, made, sum(a.budget for a in m.automata)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=_COUNTERS)
-
-    return df.select(column).mapInArrow(run, ", ".join(f"{c} long" for c in _COUNTERS))
-
-
-_COUNTERS = ["texts", "units", "starts", "events", "automata", "assertion_automata", "states", "transitions", "state_budget"]
+            for lo, hi, units, rows in _steps(batch.column(0)):
+                for a in m.automata:
+                    a.counters = dict.fromkeys(COUNTERS, 0)
+                m.events(units, rows)
+                row = [hi - lo, len(units), *(sum(a.counters[c] for a in m.automata) for c in COUNTERS), len(m.automata), sum(a.facts for a in m.automata), len(m.ids), sum(a.budget for a in m.automata)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=names)
+
+    return df.select(column).mapInArrow(run, ", ".join(f"{c} long" for c in names))

@@ -19,8 +19,8 @@ from textmesh.streaming.scan import scan_stream
 QUERIES, ORACLE = {}, {}
 
 
-def matcher(patterns, budget: int | None = None, workers: int = 1, prefilter: bool = True, fold: bool = False):
-    b = MatcherBuilder().state_cache_budget(budget).worker_count(workers).prefilter_enabled(prefilter)
+def matcher(patterns, budget: int | None = None, workers: int = 1, prefilter: bool = True, cohorts: bool = True, fold: bool = False):
+    b = MatcherBuilder().state_cache_budget(budget).worker_count(workers).prefilter_enabled(prefilter).cohort_compilation_enabled(cohorts)
     for i, p in patterns:
         b.add(i, p, CASE_INSENSITIVE if fold else 0)
     return b.build()
@@ -230,6 +230,8 @@ def same(name, **other):
 same("shard_invariance", workers=3)
 same("nfa_vs_dfa", budget=0)
 same("small_budget", budget=3)
+same("cohort_invariance", cohorts=False)
+same("start_filter_invariance", prefilter=False)
 
 
 @query("prefilter_invariance", _NONE)
