@@ -199,9 +199,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each keeps the components and
     never has more edges than before, apart from duplicates, and a logarithmic
-    number of rounds is enough in practice.  A star's centre is spread by a
-    partial aggregate and by the skew join of adaptive execution.  Every round
-    is checkpointed; only a count and a checksum reach the driver.
+    number of rounds is enough in practice.  The minimum at a star's centre is
+    a partial aggregate; it is checkpointed before it is joined, so that both
+    sides of the join are plain shuffles, of which adaptive execution splits
+    the centre's.  Only a count and a checksum reach the driver.
     """
 
     def state(e: DataFrame):
@@ -212,9 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = state(e)
     while now[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpoint(large)
+        low2 = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low2, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpoint(small.unionByName(low2.select("a", F.col("m").alias("b"))).distinct())
         was, now = now, state(e)

@@ -32,6 +32,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -414,13 +415,11 @@ def decode(tokens: DataFrame, path: str = MODEL, ids: str = "ids", text: str = "
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 col = part.column(1)
-                size = np.array([0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()], np.int64)
+                size = np.array([0 if x is None else x for x in pc.list_value_length(col).to_pylist()], np.int64)
                 got = model.decode(np.concatenate(([0], np.cumsum(size))), col.flatten().to_numpy().astype(np.int64))
                 null = col.is_null().to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x else t for t, x in zip(got, null, strict=True)], pa.string())], names=["doc_id", text])
 
-    import pyarrow.compute  # noqa: F401
-
     return tokens.select("doc_id", ids).mapInArrow(run, f"doc_id long, `{text}` string")
 
 
