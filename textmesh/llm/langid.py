@@ -147,7 +147,7 @@ def identify(docs: DataFrame, learn: Column, sample: int = SAMPLE, landmarks: in
 
     def texts(ids):  # at most `sample` ids
         few = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-        return pick.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+        return pick.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     kernel = Kernel([t.encode() for _, t in sorted((r.doc_id, r.text) for r in texts(chosen).collect())])
     shared = spark.sparkContext.broadcast(kernel)

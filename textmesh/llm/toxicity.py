@@ -19,7 +19,8 @@ is scored over its whole text.
 Defined results: null and empty texts have no words and get what the constant
 and the earlier categories say; a null label isn't learnt from; without both
 classes a category has probability 0 or 1, as all labels say, or 0; of rows
-that repeat a doc_id all are learnt from and scored; a null doc_id is scored.
+that repeat a doc_id one is learnt from and all are scored, and of labels that
+repeat one the largest counts; a null doc_id is scored.
 """
 
 from __future__ import annotations
@@ -183,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
 
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in truth], "doc_id long"))  # at most `sample` rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    got = sorted((r.doc_id, bytes(r.h)) for r in texts.mapInArrow(hashes, "doc_id long, h binary").collect())[: 2 * sample]
+    one = texts.mapInArrow(hashes, "doc_id long, h binary").groupBy("doc_id").agg(F.min("h").alias("h"))
+    got = sorted((r.doc_id, bytes(r.h)) for r in one.collect())
     if not got:
         return [Regression(np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -30.0) for i in range(len(categories))], [0.5] * len(categories)
     words = [np.frombuffer(b, np.uint64) for _, b in got]
