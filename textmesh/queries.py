@@ -263,7 +263,10 @@ def sql_function(spark, d):
 def stream_scan(spark, d):
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="stream-")
     out = f"{base}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/part.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(f"{d}")
