@@ -74,6 +74,15 @@ def test_matches_plain_model(spark, order, rare):
         assert r.score == pytest.approx(expect[str(r.doc_id)], rel=1e-5, abs=1e-4)
 
 
+def test_rare_contexts_of_a_large_corpus_stay(spark):
+    texts = {1: "ab" * 120_000, 3: "quiz", 4: "quit", 5: "quiz quit"}
+    rows = list(texts.items())
+    model = plain_model([t.encode() for t in texts.values()], 2, 10**9)
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), 2).collect()}
+    for i in (3, 4, 5):
+        assert got[i] == pytest.approx(plain_score(model, 2, texts[i].encode()), rel=1e-5)
+
+
 def test_few_top_words_give_the_same(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     key = lambda r: (str(r.doc_id), r.n_known, round(r.base_score, 6))

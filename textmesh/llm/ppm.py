@@ -7,14 +7,16 @@ longer contexts are excluded there.  Below the empty context all 257 symbols
 (bytes and the end of text) that are left are equally likely.  A document's
 score is the log10 probability of its bytes and its end.
 
-Training counts every (order+1)-gram of all training documents in Spark and
-rolls the counts up to shorter contexts.  The trie keeps the contexts that
-occur at least once in every `rare` symbols, which bounds it by order * rare
-contexts whatever the corpus; a context that is left out is as if its text
-had a shorter context, so every byte of every document is still scored.  The
-trie becomes a finite automaton (its contexts are closed under prefix and
-suffix), and documents are scored as equal pieces in lock step, each piece
-warmed up on the bytes before it, which gives exactly the unbroken result.
+Training counts every (order+1)-gram of all training documents in Spark.  All
+contexts are kept, so the trie grows with the corpus; `rare`, for experiments,
+keeps those that occur at least once in every `rare` symbols.  It is a table
+that is dealt over shards by the last `NEAR` symbols of the context: a shard
+rolls its grams up to the contexts of that length or more, and only the grams
+of up to `NEAR` symbols, whose number the alphabet bounds, are sent to all.
+
+A symbol's probability depends on its (order+1)-gram alone.  Documents are cut
+into blocks, the distinct grams of a block go to their shards, which answer
+with log probabilities, and the answers meet the block's texts again.
 
 The base score needs the count of every word.  Words that are at least one of
 every `TOP` tokens, so at most `TOP` words, are broadcast; the others are joined.
@@ -30,37 +32,43 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches, checkpoint, ids_of, small_batches, word_hashes, words
+from textmesh.llm.common import batches, checkpoint, ids_of, partitions, planes, small_batches, spark_hash, unplanes, word_hashes, words
 
 ORDER = 5
-#: Symbols for each occurrence that a context of the trie needs.
-RARE = 100_000
 #: Words that are one of so many tokens or more are broadcast: no more words than this number.
 TOP = 1_000_000
 END, START = 256, 257
 SYMBOLS = 257
 _BITS = 9
-#: Bytes of a piece of text that is scored in lock step with others.
-PIECE = 512
+#: Last symbols of a context by which the trie is dealt over shards.
+NEAR = 3
+#: Training symbols for each shard, if that makes more than one for each shuffle partition.
+SHARD = 32 << 20
+#: Bytes of text whose distinct grams are asked for together.
+BLOCK = 8 << 20
 _CACHE_BITS = 20
+_PLACE_BITS = 22
 
 
 def gram_codes(buf: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     """Codes of the (order+1)-gram that ends at each byte and at each end."""
     n, size = len(off) - 1, np.diff(off)
-    padded = np.full(len(buf) + n * (order + 1), START, np.int64)
-    begin = off[:-1] + np.arange(n) * (order + 1) + order
-    at = np.arange(len(buf)) + np.repeat(begin - off[:-1], size)
-    padded[at] = buf
-    padded[begin + size] = END
-    at = np.sort(np.concatenate((at, begin + size)))
-    code = np.zeros(len(at), np.int64)
-    for k in range(order, -1, -1):
-        code = (code << _BITS) | padded[at - k]
-    return code
+    # text i lies behind `order` more symbols than text i - 1
+    at = np.arange(len(buf) + n) + np.repeat(order * np.arange(1, n + 1), size + 1)
+    padded = np.full(len(at) + n * order, START, np.int64)
+    end = np.zeros(len(at), bool)
+    end[off[1:] + np.arange(n)] = True
+    padded[at[~end]] = buf
+    padded[at[end]] = END
+    code = padded[: len(padded) - order].copy()
+    for k in range(1, order + 1):
+        code <<= _BITS
+        code |= padded[k : len(padded) - order + k]
+    return code[at - order]
 
 
 def _count_grams(order: int):
@@ -121,125 +129,229 @@ def _count_words(it):
         yield from out(*merged())
 
 
-class Automaton:
-    """The trie as tables: next state and log10 probability of each symbol
-    class in each state.  Class 0 is padding, class 1 the unseen symbols."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], order: int):
-        """grams[k]: sorted codes of k+1 symbols (context, symbol) and counts;
-        the contexts are closed under prefix and suffix."""
-        self.order = order
-        seen = np.unique(grams[0][0]) if grams else np.zeros(0, np.int64)
-        self.classes = np.ones(258, np.uint8 if len(seen) < 250 else np.uint16)
-        self.classes[seen] = np.arange(len(seen)) + 2
-        width = len(seen) + 2
-        contexts = [np.zeros(1, np.int64)] + [np.unique(g >> _BITS) for g, _ in grams[1:]]
-        first = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
-        n = int(first[-1])
-        counts = np.zeros((n, width), np.float32)
-        self.next = np.zeros((n, width), np.int32)
-        logp = np.zeros((n, width))
-        escape = np.zeros((n, width))
-        sym = np.arange(width)
-        raw = np.concatenate(([0, 0], seen))
-        for k, ctx in enumerate(contexts):
-            lo, hi = first[k], first[k + 1]
-            g, c = grams[k] if k < len(grams) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            counts[lo + np.searchsorted(ctx, g >> _BITS), self.classes[g & 511]] = c
-            if k == 0:
-                parent = np.zeros(1, np.int64)
+def _mask(symbols: int) -> int:
+    return (1 << _BITS * symbols) - 1
+
+
+def _kinds(a: np.ndarray) -> np.ndarray:
+    """The distinct values of an array from 0 on, sorted."""
+    a = np.sort(a)
+    return a[np.diff(a, prepend=-1) > 0]
+
+
+def _find(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in the sorted a, -1 where it isn't."""
+    if not len(a):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(a, x), len(a) - 1)
+    return np.where(a[at] == x, at, -1)
+
+
+class Level:
+    """Contexts of k symbols: the grams of k+1 symbols and their counts, and
+    for each context its total, its kinds of symbols, and how often those
+    symbols follow the next shorter context.  All arrays are sorted."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, k: int, least: int, shorter: Level | None):
+        code = grams & _mask(k + 1)
+        order = np.argsort(code, kind="stable")
+        code, counts = code[order], counts[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        code, counts = code[first], np.add.reduceat(counts, first) if len(first) else counts
+        ctx = code >> _BITS
+        first = np.flatnonzero(np.diff(ctx, prepend=-1))
+        size = np.diff(np.append(first, len(ctx)))
+        total = np.add.reduceat(counts, first) if len(first) else counts
+        if k and least > 1:
+            keep = np.repeat(total >= least, size)
+            code, counts, size, total = code[keep], counts[keep], size[total >= least], total[total >= least]
+            first = np.cumsum(size) - size
+        self.k, self.grams, self.counts, self.contexts, self.total, self.kinds = k, code, counts, code[first] >> _BITS, total, size
+        above = shorter.counts[np.searchsorted(shorter.grams, code & _mask(k))] if k and len(code) else counts
+        self.above = np.add.reduceat(above, first) if len(first) else counts
+
+
+def log_probabilities(levels: list[Level], grams: np.ndarray) -> np.ndarray:
+    """log10 probability of the last symbol of every gram after the others.
+
+    What a context has seen, all its suffixes have, so the symbols excluded in
+    a context are those of the next longer one that is known."""
+    out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
+    longer, child = None, None
+    for level in reversed(levels):
+        at = _find(level.contexts, (grams >> _BITS) & _mask(level.k))
+        there = at >= 0
+        n, d = (x[at] if len(x) else np.zeros(len(at), np.int64) for x in (level.total, level.kinds))
+        if longer is not None and len(longer.contexts):
+            n, d = n - np.where(child >= 0, longer.above[child], 0), d - np.where(child >= 0, longer.kinds[child], 0)
+        gram = _find(level.grams, grams & _mask(level.k + 1))
+        left = open_ & there & (d > 0)
+        hit, miss = left & (gram >= 0), left & (gram < 0)
+        out[hit] += np.log10(level.counts[gram[hit]] / (n[hit] + d[hit]))
+        out[miss] += np.log10(d[miss] / (n[miss] + d[miss]))
+        open_ &= ~hit
+        longer, child = level, at
+    out[open_] -= math.log10(max(1, SYMBOLS - int(levels[0].kinds.sum())))
+    return out
+
+
+def _shard_of(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
+    return (spark_hash((grams >> _BITS) & _mask(min(NEAR, order))).view(np.int64) % shards).astype(np.int32)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    return pa.compress(planes(a), "zstd", asbytes=True)
+
+
+def _unpack(b: bytes, dtype, n: int) -> np.ndarray:
+    return unplanes(pa.decompress(b, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype, n)
+
+
+_PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+_PARTS_SQL = "block long, shard int, n long, data binary"
+
+
+def _ask(order: int, shards: int):
+    """For each block of documents its distinct grams and its rows (shard -1),
+    and the distinct grams for each shard."""
+
+    def run(it):
+        name = TaskContext.get().partitionId() << 32
+        held, grams, size = [], [], 0
+
+        def block():
+            g = _kinds(np.concatenate(grams))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            asked = _pack(np.diff(g, prepend=0))
+            packed = len(asked).to_bytes(8, "little") + asked + sink.getvalue().to_pybytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([len(g)]), pa.array([packed], pa.binary())], schema=_PARTS)
+            s = _shard_of(g, order, shards)
+            by = np.argsort(s, kind="stable")
+            g, s = g[by], s[by]
+            first = np.flatnonzero(np.diff(s, prepend=-1))
+            n = np.diff(np.append(first, len(g)))
+            data = [_pack(np.diff(g[a : a + k], prepend=0)) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), name)), pa.array(s[first]), pa.array(n), pa.array(data, pa.binary())], schema=_PARTS)
+
+        for batch, buf, off in batches(it):
+            held.append(batch)
+            grams.append(_kinds(gram_codes(buf, off, order)))
+            size += len(buf)
+            if size >= BLOCK:
+                yield from block()
+                name, held, grams, size = name + 1, [], [], 0
+        if held:
+            yield from block()
+
+    return run
+
+
+def _answer(order: int, least: int, shared):
+    """The answers to blocks: rows are sorted by shard and block, and the
+    grams of a shard's trie come first, under block -1."""
+
+    def run(it):
+        now, rows, table = None, [], None
+
+        def made():
+            gram, n = (np.concatenate([r[i] for r in rows] or [np.zeros(0, np.int64)]) for i in range(2))
+            levels = list(shared.value)
+            for k in range(len(levels), order + 1):
+                levels.append(Level(gram, n, k, least, levels[-1]))
+            gram = np.sort(gram)
+            return levels, gram, log_probabilities(levels, gram)
+
+        for batch in it:
+            shard, block, gram, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+                if hi == lo:
+                    continue
+                if shard[lo] != now:
+                    now, rows, table = shard[lo], [], None
+                own = lo + int(np.searchsorted(block[lo:hi], 0))
+                if own > lo:
+                    rows.append((gram[lo:own], n[lo:own]))
+                if own == hi:
+                    continue
+                if table is None:
+                    table, rows = made(), []
+                levels, known, logs = table
+                asked = [np.cumsum(_unpack(batch.column(4)[i].as_py(), np.int64, n[i])) for i in range(own, hi)]
+                g = np.concatenate(asked)
+                at = _find(known, g)
+                out = logs[at] if len(logs) else np.zeros(len(g))
+                out[at < 0] = log_probabilities(levels, g[at < 0])
+                parts = np.split(out.astype(np.float32), np.cumsum(n[own:hi])[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(block[own:hi]), pa.array(shard[own:hi]), pa.array(n[own:hi]), pa.array([_pack(x) for x in parts], pa.binary())], schema=_PARTS)
+
+    return run
+
+
+def _blocks(it):
+    """(distinct grams, documents, answers in the order of shards) of every
+    block; rows are sorted by block and shard."""
+    grams, docs, held = None, None, []
+    for batch in it:
+        shard, n = (batch.column(i).to_numpy() for i in (1, 2))
+        for i in range(len(shard)):
+            data = batch.column(3)[i].as_py()
+            if shard[i] < 0:
+                if docs is not None:
+                    yield grams, docs, np.concatenate(held)
+                cut = 8 + int.from_bytes(data[:8], "little")
+                grams, docs, held = np.cumsum(_unpack(data[8:cut], np.int64, n[i])), pa.ipc.open_stream(data[cut:]).read_all(), []
             else:
-                parent = first[k - 1] + (np.searchsorted(contexts[k - 1], ctx & ((1 << _BITS * (k - 1)) - 1)) if k > 1 else np.zeros(len(ctx), np.int64))
-            for a in range(lo, hi, 4096):
-                b = min(hi, a + 4096)
-                up, mine = parent[a - lo : b - lo], counts[a:b].astype(np.float64)
-                mask = mine > 0
-                total, kinds = mine.sum(axis=1), mask.sum(axis=1)
-                if k == 0:
-                    left = SYMBOLS - kinds[0]
-                    escape[0] = -math.log10(left) if left else -300.0
-                else:
-                    above = counts[up].astype(np.float64)
-                    new = (above > 0) & ~mask
-                    t = np.where(mask, 0, above).sum(axis=1)
-                    d = new.sum(axis=1)
-                    some = d > 0
-                    with np.errstate(divide="ignore"):
-                        esc = np.where(new, np.log10(above) - np.log10(np.where(some, t + d, 1))[:, None], (np.log10(np.where(some, d, 1)) - np.log10(np.where(some, t + d, 1)))[:, None] + escape[up])
-                    escape[a:b] = esc
-                with np.errstate(divide="ignore"):
-                    base = np.log10(np.where(total > 0, total + kinds, 1))[:, None]
-                    logp[a:b] = np.where(mask, np.log10(mine) - base, np.where(kinds > 0, np.log10(np.maximum(kinds, 1)), 0)[:, None] - base + escape[a:b])
-                if k + 1 < len(contexts):
-                    code = (ctx[a - lo : b - lo, None] << _BITS) | raw[None, :]
-                    to = np.searchsorted(contexts[k + 1], code)
-                    to = np.minimum(to, len(contexts[k + 1]) - 1)
-                    there = (contexts[k + 1][to] == code) & (sym >= 2)[None, :] if len(contexts[k + 1]) else np.zeros(code.shape, bool)
-                else:
-                    to, there = 0, np.zeros((b - a, width), bool)
-                short = self.next[up] if k else np.zeros((1, width), np.int32)
-                self.next[a:b] = np.where(there, first[k + 1] + to if k + 1 < len(contexts) else 0, short)
-        state = 0
-        for k in range(1, len(contexts)):
-            code = sum(START << _BITS * i for i in range(k))
-            at = int(np.searchsorted(contexts[k], code))
-            if at < len(contexts[k]) and contexts[k][at] == code:
-                state = int(first[k]) + at
-        self.next[:, 0] = state
-        logp[:, 0] = 0
-        self.logp, self.width, self.states = logp.astype(np.float32), width, n
-
-    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of every text and its end."""
-        n, size, k = len(off) - 1, np.diff(off), self.order
-        symbols = np.zeros(len(buf) + n + k, self.classes.dtype)
-        begin = off[:-1] + np.arange(n) + k
-        at = np.arange(len(buf)) + np.repeat(begin - off[:-1], size)
-        symbols[at] = self.classes[buf]
-        symbols[begin + size] = self.classes[END]
-        pieces = -(-(size + 1) // PIECE)
-        doc = np.repeat(np.arange(n), pieces)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = begin[doc] + nth * PIECE
-        length = np.minimum(PIECE, size[doc] + 1 - nth * PIECE)
-        order = np.argsort(-length, kind="stable")
-        doc, nth, start, length = doc[order], nth[order], start[order], length[order]
-        total = np.zeros(len(doc))
-        flat_next, flat_logp = self.next.ravel(), self.logp.ravel()
-        for lo in range(0, len(doc), 4096):
-            s, l, first = start[lo : lo + 4096], length[lo : lo + 4096], nth[lo : lo + 4096] == 0
-            state = np.zeros(len(s), np.int64)
-            for j in range(-k, 0):
-                sym = np.where(first, 0, symbols[s + j])
-                state = flat_next[state * self.width + sym].astype(np.int64)
-            if k == 0:
-                state[first] = self.next[0, 0]
-            acc = np.zeros(len(s))
-            live = len(s)
-            for j in range(int(l[0])):
-                while live and l[live - 1] <= j:
-                    live = int(np.searchsorted(-l, -j, side="left"))
-                i = state[:live] * self.width + symbols[s[:live] + j]
-                acc[:live] += flat_logp[i]
-                state[:live] = flat_next[i]
-            total[lo : lo + 4096] = acc
-        return np.bincount(doc, total, minlength=n)
-
-
-def train(docs: DataFrame, order: int = ORDER, rare: int = RARE) -> Automaton:
-    """The automaton of the texts of docs."""
-    grams = checkpoint(docs.select("text").mapInArrow(_count_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+                held.append(_unpack(data, np.float32, n[i]))
+    if docs is not None:
+        yield grams, docs, np.concatenate(held)
+
+
+def _scored_texts(it, order: int, shards: int):
+    """(slice of documents, bytes, offsets, PPM scores) of the blocks; most
+    grams are found in a direct-mapped table, the others by bisection."""
+
+    def slot_of(g):
+        return ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PLACE_BITS)).astype(np.int64)
+
+    place = np.zeros(1 << _PLACE_BITS, np.int32)
+    for g, docs, answers in _blocks(it):
+        logs = np.empty(len(g))
+        logs[np.argsort(_shard_of(g, order, shards), kind="stable")] = answers
+        place[:] = 0
+        place[slot_of(g)] = np.arange(len(g))
+        for batch, buf, off in batches(docs.to_batches()):
+            code = gram_codes(buf, off, order)
+            at = place[slot_of(code)].astype(np.int64)
+            other = np.flatnonzero(g[at] != code)
+            at[other] = np.searchsorted(g, code[other])
+            yield batch, buf, off, np.add.reduceat(logs[at], off[:-1] + np.arange(len(off) - 1))
+
+
+def _dealt_scores(base: DataFrame, learnt: DataFrame, order: int, rare: int | None):
+    """(answered blocks of base, number of shards); the trie is that of learnt."""
+    spark = base.sparkSession
+    n = partitions(spark)
+    grams = checkpoint(learnt.select("text").mapInArrow(_count_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // rare))
-    kept = []
-    for k in range(order + 1):
-        level = grams.groupBy(F.expr(f"gram & {(1 << _BITS * (k + 1)) - 1}L").alias("gram")).agg(F.sum("n").alias("n"))
-        if k:
-            level = level.withColumn("ctx", F.shiftright("gram", _BITS))
-            common = level.groupBy("ctx").agg(F.sum("n").alias("t")).where(F.col("t") >= least)
-            level = level.join(common, "ctx")
-        kept.append(_columns(level.select("gram", "n")))
-    return Automaton(kept if len(kept[0][0]) else [], order)
+    least = max(1, -(-total // rare)) if rare else 1
+    shards = max(n, -(-total // SHARD))
+    top = min(NEAR - 1, order)
+    gram, count = _columns(grams.groupBy(F.expr(f"gram & {_mask(top + 1)}L").alias("gram")).agg(F.sum("n").alias("n")))
+    levels = []
+    for k in range(top + 1):
+        levels.append(Level(gram, count, k, least, levels[-1] if levels else None))
+    asked = checkpoint(base.mapInArrow(_ask(order, shards), _PARTS_SQL))
+    near = F.shiftright("gram", _BITS).bitwiseAND(F.lit(_mask(min(NEAR, order))).cast("long"))
+    trie = grams.select(F.pmod(F.xxhash64(near), F.lit(shards)).cast("int").alias("shard"), F.lit(-1).cast("long").alias("block"), "gram", "n", F.lit(None).cast("binary").alias("data"))
+    requests = asked.where("shard >= 0").select("shard", "block", F.lit(0).cast("long").alias("gram"), "n", "data")
+    met = trie.unionByName(requests).repartition(n, "shard").sortWithinPartitions("shard", "block")
+    answers = met.mapInArrow(_answer(order, least, spark.sparkContext.broadcast(levels)), _PARTS_SQL)
+    whole = asked.where("shard < 0").unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "shard")
+    return whole, shards
 
 
 def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -249,17 +361,15 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], n[order]
 
 
-def _score(model, hot):
+def _score(order: int, shards: int, hot):
     """One row for each document: PPM score, known part of the base score from
     the hot words, and its other words with their counts."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("known", pa.int64()), ("logs", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
     def run(it):
-        m = model.value
         top, top_n, end_n = hot.value
-        for batch, buf, off in batches(it, 1 << 20):
+        for batch, buf, off, score in _scored_texts(it, order, shards):
             n = batch.num_rows
-            score = m.score(buf, off)
             starts, ends, doc = words(buf, off)
             h = word_hashes(buf, starts, ends, lower=True)
             tokens = np.bincount(doc, minlength=n) + 1
@@ -268,8 +378,8 @@ def _score(model, hot):
             known = np.bincount(doc[is_hot], minlength=n) + (end_n > 0)
             logs = np.bincount(doc[is_hot], np.log10(top_n[at[is_hot]] + 1.0), minlength=n) + math.log10(end_n + 1)
             rd, rh = doc[~is_hot], h[~is_hot]
-            order = np.lexsort((rh, rd))
-            rd, rh = rd[order], rh[order]
+            by = np.lexsort((rh, rd))
+            rd, rh = rd[by], rh[by]
             new = np.ones(len(rd), bool)
             new[1:] = (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])
             first = np.flatnonzero(new)
@@ -284,13 +394,13 @@ def _score(model, hot):
     return run
 
 
-def score_documents(docs: DataFrame, held_out, order: int = ORDER, rare: int = RARE, top: int = TOP) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = ORDER, rare: int | None = None, top: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte; held_out: boolean column over doc_id of what isn't learnt."""
     spark = docs.sparkSession
     base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnt = base.where(~held_out)
-    model = train(learnt, order, rare)
+    dealt, shards = _dealt_scores(base, learnt, order, rare)
     n_train = learnt.count()
     counts = checkpoint(learnt.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -298,7 +408,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, rare: int = R
     top_h, top_n = _columns(counts.where(F.col("n") * top >= tokens).select("h", "n"))
     by_h = np.argsort(top_h.view(np.uint64))
     shared = spark.sparkContext.broadcast((top_h.view(np.uint64)[by_h], top_n[by_h], n_train))
-    scored = base.mapInArrow(_score(spark.sparkContext.broadcast(model), shared), "doc_id long, n_tokens long, score double, known long, logs double, rare array<long>, times array<int>")
+    scored = dealt.mapInArrow(_score(order, shards, shared), "doc_id long, n_tokens long, score double, known long, logs double, rare array<long>, times array<int>")
     scored = checkpoint(scored).withColumn("row", F.monotonically_increasing_id())
     rest = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     sums = rest.join(counts, "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("found"))
