@@ -168,6 +168,38 @@ def test_near_duplicates_go(spark):
     assert simhash.drop_near_duplicates(frame(spark, rows).limit(0)).collect() == []
 
 
+def brute_kept(rows, least=0.8):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    root = union(len(rows), ((a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])))
+    return {min(rows[k][0] for k in range(len(rows)) if root[k] == x) for x in set(root)}
+
+
+def replaced(words_, r, n):
+    w = list(words_)
+    for k in r.sample(range(len(w)), n):
+        w[k] = f"new{r.getrandbits(40)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize(("length", "edits"), [(300, 4), (600, 8)])
+def test_variants_of_one_text_are_one_group(spark, length, edits):
+    r = random.Random(length)
+    base = [f"w{r.randrange(5000)}" for _ in range(length)]
+    rows = [(k, replaced(base, r, edits)) for k in range(1, 100)] + [(100, " ".join(base))]
+    assert {x.doc_id for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == brute_kept(rows)
+
+
+def test_near_copies_are_found_and_decided_exactly(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(150):
+        w = [f"w{r.randrange(20_000)}" for _ in range(r.randint(80, 700))]
+        share = r.uniform(0.05, 0.35)
+        more = [f"b{r.getrandbits(40)}" for _ in range(int(len(w) * share))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + more) if k % 2 else replaced(w, r, max(1, int(len(w) * share / 12))))]
+    assert {x.doc_id for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == brute_kept(rows)
+
+
 SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 

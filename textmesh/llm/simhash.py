@@ -265,12 +265,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates whose five-word shingles agree: fingerprints propose, sketches decide.
+# Near-duplicates whose five-word shingles agree: fingerprints and MinHash bands propose, the sets decide.
 
 #: Bits in which the fingerprints of two texts to compare may differ; the least Jaccard similarity.
 PROPOSE, SIMILARITY = 7, 0.8
-#: Least hashes of a text's shingles that are kept; with no more shingles the similarity is exact.
-SKETCH = 128
+#: Bands of MinHash values, and values in a band: a pair of similarity s agrees in none with probability
+#: (1 - s**ROWS)**BANDS, 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
+#: Texts of a crowded band that a task compares at once.
+TOGETHER = 1000
+_mixed = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_XOR, _TIMES = _mixed[: BANDS * ROWS], _mixed[BANDS * ROWS :] | np.uint64(1)
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,9 +297,23 @@ def _shingled(h: np.ndarray, doc: np.ndarray, n: int, size: int) -> tuple[np.nda
     return _distinct(np.concatenate((doc[at], short)), np.concatenate((window_hashes(h, size)[at], whole)))
 
 
-def _profile(shingle: int, sketch: int):
-    """(doc_id, copy, fp, sketch) of every row: the SimHash of the distinct
-    word pairs and the least 32-bit hashes of the distinct shingles."""
+def _bands(d: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    """A key for each of n texts and each band, from the distinct shingles;
+    the texts without words have the same ones."""
+    out = np.zeros((n, BANDS), np.uint64)
+    some, first = np.unique(d, return_index=True)
+    if len(some):
+        for band in range(BANDS):
+            key = np.full(len(some), band + 1, np.uint64)
+            for i in range(band * ROWS, band * ROWS + ROWS):
+                key = mix64(key ^ np.minimum.reduceat((s ^ _XOR[i]) * _TIMES[i], first))
+            out[some, band] = key
+    return out.view(np.int64)
+
+
+def _profile(shingle: int):
+    """(doc_id, copy, fp, bands) of every row: the SimHash of the distinct
+    word pairs and the keys of the bands of the distinct shingles."""
 
     def run(it):
         for batch, buf, off in batches(it):
@@ -308,62 +327,143 @@ def _profile(shingle: int, sketch: int):
                 if cut[i + 1] > cut[i]:
                     major = 2 * _bit_sums(pair[cut[i] : cut[i + 1]]) > cut[i + 1] - cut[i]
                     fp[i] = np.packbits(major, bitorder="little").view(np.uint64)[0]
-            d, s = _shingled(h, doc, n, shingle)
-            d, s = _distinct(d, mix64(s) >> np.uint64(32))
+            keys = _bands(*_shingled(h, doc, n, shingle), n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), lists], names=["doc_id", "copy", "fp", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    """(id, shingles): the sorted hashes of the distinct shingles of a text."""
+
+    def run(it):
+        for batch, buf, off in batches(it):
+            n = batch.num_rows
+            starts, ends, doc = words(buf, off)
+            d, s = _shingled(word_hashes(buf, starts, ends, lower=True), doc, n, shingle)
             cut = np.searchsorted(d, np.arange(n + 1))
-            low = [s[a : min(b, a + sketch)].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), pa.array(low, pa.binary())], names=["doc_id", "copy", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
     return run
 
 
-def similarity(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
-    """Jaccard similarity from two sketches; both empty: 1."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of hashes; both empty: 1."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    both = np.union1d(x, y)
-    if len(x) >= sketch or len(y) >= sketch:
-        both = both[:sketch]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
-def _similar(least: float, sketch: int):
+def _similar(least: float):
     def run(it):
         for batch in it:
-            keep = [similarity(x.as_py(), y.as_py(), sketch) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                keep.append(min(len(x), len(y)) >= least * max(len(x), len(y)) and similarity(x, y) >= least)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, distance: int = PROPOSE, sketch: int = SKETCH) -> DataFrame:
+def similar_groups(roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect what similar pairs connect, given texts that are
+    connected already if their roots are equal: each pair is compared unless
+    it is connected by then."""
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, start = np.repeat(np.arange(len(sets)), size), np.concatenate(([0], np.cumsum(size)))
+    marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    roots, out = roots.copy(), []
+    for i in range(len(sets)):
+        if (roots[i + 1 :] == roots[i]).all():
+            continue
+        mine = flat[start[i] : start[i + 1]]
+        marked[mine] = True
+        both = np.bincount(owner[start[i] :][marked[flat[start[i] :]]], minlength=len(sets))[i + 1 :]
+        marked[mine] = False
+        union = size[i] + size[i + 1 :] - both
+        near = ((both >= least * union) & (roots[i + 1 :] != roots[i])).nonzero()[0] + i + 1
+        for j in near.tolist():
+            if roots[j] != roots[i]:
+                out.append((i, j))
+                roots[roots == roots[j]] = roots[i]
+    return out
+
+
+def _crowd(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        found = similar_groups(table["root"].to_numpy(), [np.frombuffer(x.as_py(), "<u8") for x in table["shingles"]], least)
+        a, b = (ids[np.array([p[k] for p in found], np.int64)] for k in range(2))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def similar_texts(texts: DataFrame, read, least: float, distance: int) -> DataFrame:
+    """(node, root) of the groups of texts (id, fp, bands) that similar pairs
+    connect; read gives (id, shingles) of a table of ids.
+
+    All pairs of a band's small groups are compared.  In a crowded one all
+    texts meet the first; where that leaves several groups, the texts come
+    together and all pairs of theirs that aren't connected are compared."""
+    entries = texts.select("id", F.explode(F.array_distinct("bands")).alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
+    member = checkpoint(entries.join(shared, "key"))
+    few, many = member.where(F.col("n") <= DENSE).select("key", "id"), member.where(F.col("n") > DENSE)
+    small = few.withColumnRenamed("id", "x").join(few.withColumnRenamed("id", "y"), "key").where("x < y").select("x", "y")
+    stars = many.where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y"))
+    lead = texts.groupBy("fp").agg(F.min("id").alias("lead"))
+    pairs = links(lead.select("fp"), distance, counts=(2, 3, 4)).distinct()
+    far = pairs.join(lead.withColumnsRenamed({"fp": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"fp": "b", "lead": "y"}), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    same = texts.select("fp", F.col("id").alias("y")).join(lead, "fp").where("lead <> y").select(F.col("lead").alias("x"), "y")
+    proposed = checkpoint(small.unionByName(stars).unionByName(far).unionByName(same).distinct())
+    held = checkpoint(read(proposed.select(F.col("x").alias("id")).union(proposed.select("y")).distinct()))
+    sides = proposed.join(held.withColumnsRenamed({"id": "x", "shingles": "sx"}), "x").join(held.withColumnsRenamed({"id": "y", "shingles": "sy"}), "y")
+    found = checkpoint(sides.select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy").mapInArrow(_similar(least), "a long, b long"))
+    groups = components(found)
+    crowd = many.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
+    crowd = checkpoint(crowd)
+    open_ = crowd.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id") % 1000003).alias("y")).where("r0 <> r1")
+    once = checkpoint(open_.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"))  # keys of the same texts are one
+    if once.isEmpty():
+        return groups
+    parts = F.ceil(F.col("n") / TOGETHER).cast("int")
+    dealt = crowd.join(once, "key").withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "root").join(held, "id")
+    more = dealt.groupBy("key", "lo", "hi").applyInArrow(_crowd(least), "a long, b long")
+    return components(found.unionByName(more))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, distance: int = PROPOSE) -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the
     smallest doc_id.
 
-    Equal texts are one entry.  SimHash fingerprints of the distinct word
-    pairs propose pairs of texts by multi-index hashing; a pair is a link if
-    the similarity of the distinct shingles, lower-cased, is `least` or more,
-    exactly for texts of up to `sketch` shingles and as estimated from the
-    `sketch` least hashes for longer ones.  Groups are the components of the
-    links.  Rows that repeat the doc_id of the kept document stay with it;
+    Equal texts are one entry.  Bands of MinHash values of the distinct
+    shingles, lower-cased, and SimHash fingerprints of the distinct word pairs
+    propose pairs of texts; a pair is a link if the Jaccard similarity of the
+    whole sets of shingles is `least` or more.  Groups are the components of
+    the links.  Rows that repeat the doc_id of the kept document stay with it;
     null text counts as empty, and texts without words are one group; a row
     without doc_id stays only if its group has no doc_id.
     """
     copy = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), F.col("text").cast("string").alias("text"))
-    each = base.mapInArrow(_profile(shingle, sketch), "doc_id long, copy string, fp long, sketch binary")
-    texts = checkpoint(each.groupBy("copy").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.count("*").alias("n")))
-    lead = texts.groupBy("fp").agg(F.min("copy").alias("lead"))
-    pairs = links(lead.select("fp"), distance, counts=(2, 3, 4)).distinct()
-    far = pairs.join(lead.withColumnsRenamed({"fp": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"fp": "b", "lead": "y"}), "b").select("x", "y")
-    same = texts.select("fp", F.col("copy").alias("y")).join(lead, "fp").where("lead <> y").select(F.col("lead").alias("x"), "y")
-    proposed = far.unionByName(same)
-    held = texts.select("copy", "sketch")
-    proposed = proposed.join(held.withColumnsRenamed({"copy": "x", "sketch": "sx"}), "x").join(held.withColumnsRenamed({"copy": "y", "sketch": "sy"}), "y")
-    links_ = proposed.select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy").mapInArrow(_similar(least, sketch), "a string, b string")
-    groups = components(links_).withColumnRenamed("node", "copy")
-    member = texts.select("copy", "low", "n").join(groups, "copy", "left").select("copy", "low", "n", F.coalesce("root", "copy").alias("root"))
+    each = base.mapInArrow(_profile(shingle), "doc_id long, copy string, fp long, bands array<long>")
+    texts = checkpoint(each.groupBy("copy").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    texts = texts.withColumn("id", F.monotonically_increasing_id())
+
+    def read(ids: DataFrame) -> DataFrame:
+        wanted = texts.select("id", "copy").join(ids, "id")
+        one = wanted.join(base.select("copy", "text"), "copy").groupBy("id").agg(F.min("text").alias("text"))
+        return one.mapInArrow(_sets(shingle), "id long, shingles binary")
+
+    groups = similar_texts(texts, read, least, distance).withColumnRenamed("node", "id")
+    member = texts.select("id", "copy", "low", "n").join(groups, "id", "left").select("copy", "low", "n", F.coalesce("root", "id").alias("root"))
     kept = member.groupBy("root").agg(F.min("low").alias("kept"), F.sum("n").alias("size")).where("size > 1")
     decided = member.join(kept, "root").select(F.col("copy").alias("__copy"), F.col("kept").alias("__kept"), F.lit(True).alias("__grouped"))
     j = docs.withColumn("__copy", copy).join(decided, "__copy", "left")
