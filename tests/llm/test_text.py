@@ -378,6 +378,14 @@ def test_kernel_rows():
     assert np.allclose(k.rows(np.frombuffer(b"".join(texts), np.uint8), off), want, atol=1e-6)
 
 
+def test_kernel_keeps_all_shared_grams():
+    r = np.random.default_rng(3)
+    text = r.integers(128, 256, 150_000, dtype=np.uint8)
+    k = langid.Kernel([text.tobytes()] * 2)
+    assert k.width == sum(len(np.unique(langid.grams(text, np.array([0, len(text)]), n)[1])) for n in (1, 2, 3)) > 100_000
+    assert k.rows(np.tile(text, 3), np.arange(4) * len(text)) == pytest.approx(np.ones((3, 2)), abs=1e-3)
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")

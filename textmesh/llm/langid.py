@@ -32,7 +32,8 @@ LANDMARKS = 128
 SAMPLE = 3000
 RIDGE = 0.05
 STEP_BYTES = 1 << 20
-_NONE = np.iinfo(np.uint16).max
+#: Cells of a presence matrix that is made at once.
+CELLS = 1 << 25
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123)]] = True
@@ -62,18 +63,21 @@ class Kernel:
         self.longest = longest
         buf = lower(np.frombuffer(b"".join(texts), np.uint8))
         off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        self.columns = []
-        width, cells = 0, []
+        kept, cells = [], []
         for n in range(1, longest + 1):
             doc, code = grams(buf, off, n)
             pair = np.unique(doc << 32 | code)
             codes, times = np.unique(pair & 0xFFFFFFFF, return_counts=True)
-            codes = codes[(times >= 2) | (len(texts) < 4)][: _NONE - 1 - width]
-            table = np.full(1 << 8 * n, _NONE, np.uint16)
-            table[codes] = width + np.arange(len(codes))
-            self.columns.append(table)
-            width += len(codes)
+            kept.append(codes[(times >= 2) | (len(texts) < 4)])
             cells.append(pair)
+        width = sum(map(len, kept))
+        kind = np.uint16 if width < np.iinfo(np.uint16).max else np.uint32
+        self.columns, first = [], 0
+        for n, codes in enumerate(kept, 1):
+            table = np.full(1 << 8 * n, np.iinfo(kind).max, kind)
+            table[codes] = first + np.arange(len(codes))
+            self.columns.append(table)
+            first += len(codes)
         self.width = width
         matrix = np.zeros((len(texts), width + 1), np.float32)
         for table, pair in zip(self.columns, cells, strict=True):
@@ -86,6 +90,10 @@ class Kernel:
 
     def rows(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """k(text, landmark) of every text of a batch."""
+        step = max(1, CELLS // (self.width + 1))
+        if len(off) - 1 > step:
+            cuts = [(a, min(a + step, len(off) - 1)) for a in range(0, len(off) - 1, step)]
+            return np.concatenate([self.rows(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in cuts])
         buf = lower(buf)
         present = np.zeros((len(off) - 1, self.width + 1), np.float32)
         flat = present.ravel()
