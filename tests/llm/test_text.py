@@ -419,6 +419,18 @@ def test_out_of_fold_odds_dont_leak():
     assert abs(((odds[:, 0] > 0) == y).mean() - 0.5) < 0.12  # pure noise stays noise
 
 
+def test_all_words_of_long_documents_are_learnt(spark):
+    names = ["".join(chr(97 + int(c)) for c in f"{k:05d}") for k in range(6000)]
+    buf = np.frombuffer(" ".join(names).encode(), np.uint8)
+    h = toxicity.letter_words(buf, np.array([0, len(buf)]))[1]
+    last = int(np.argmax(h))
+    filler = " ".join(names[:last] + names[last + 1 :])
+    df = frame(spark, [(k, f"{filler} {names[last]}" if k % 2 else filler) for k in range(60)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    models, _ = toxicity.train(df, labels)
+    assert h[last] in models[1].words
+
+
 def test_toxicity_edges(spark):
     df = frame(spark, EDGE)
     few = spark.createDataFrame([(1, 1, 1), (2, None, 1), (6, 1, 0), (6, 1, 0), (99, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")

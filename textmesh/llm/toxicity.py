@@ -12,9 +12,8 @@ Words are runs of ASCII letters and bytes beyond ASCII, lower-cased.  A model
 uses the `WORDS` words whose presence differs most between its classes.
 
 The models are fitted on a bounded sample, `SAMPLE` labelled documents with
-the least hash of doc_id; their word hashes are taken on the executors, at
-most `SAMPLE_WORDS` distinct ones of a document by least hash.  Every document
-is scored over its whole text.
+the least hash of doc_id; all their distinct word hashes are taken on the
+executors.  Every document is scored over its whole text.
 
 Defined results: null and empty texts have no words and get what the constant
 and the earlier categories say; a null label isn't learnt from; without both
@@ -35,7 +34,6 @@ from textmesh.llm.common import _LOWER, batches, mix64, powers, small_batches
 #: (name, condition over the columns of labels) in the chain's order.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 SAMPLE = 8000
-SAMPLE_WORDS = 4096
 FOLDS = 3
 WORDS = 192
 #: Sample documents of a fold that a word needs.
@@ -179,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
         for batch, buf, off in batches(it):
             doc, h = letter_words(buf, off)
             cut = np.searchsorted(doc, np.arange(len(off)))
-            out = [np.unique(h[a:b])[:SAMPLE_WORDS].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            out = [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "h"])
 
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in truth], "doc_id long"))  # at most `sample` rows
