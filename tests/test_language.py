@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from textmesh.plans import automaton
 from textmesh.plans import expr as E
 from textmesh.plans import symbols as S
 from textmesh.plans.dialect import parse
@@ -123,8 +125,6 @@ def test_literals_against_substrings(words, units, budget, workers):
 
 
 def test_rows_are_separate():
-    import numpy as np
-
     m = MatcherBuilder().add(1, "ab").add(2, r"\bb").add(3, "a$").build()
     units = np.frombuffer("abab".encode("utf-16-le"), "<u2")
     start, ordinal, end = m.events(units, np.array([0, 1, 1, 2, 4]))
@@ -149,3 +149,46 @@ def test_random_long_text():
     text = "".join(rng.choice("ab \n") for _ in range(300))
     trees = [parse(k, p) for k, p in enumerate([r"\b[ab]+\b", "(ab|ba){2,}$", "^.{3}", "a.*?b".replace("?", ""), "[^ ]+"])]
     assert Matcher(trees).find(text) == find([(p.pattern_id, p.tree) for p in trees], [ord(c) for c in text])
+
+
+@pytest.mark.parametrize(("chunk", "meet", "visits", "budget"), [(1 << 18, 16, 1 << 20, None), (7, 2, 5, None), (13, 1, 1, 3), (40, 3, 50, 1), (64, 4, 9, 0)])
+def test_starts_that_meet(monkeypatch, chunk, meet, visits, budget):
+    for name, value in (("CHUNK", chunk), ("MEET", meet), ("VISITS", visits), ("ROWS", 50)):
+        monkeypatch.setattr(automaton, name, value)
+    rng = random.Random(chunk)
+    patterns = [".+", "[^b]*", "(ab|ba)+", "(a|b){5,30}", r"\b.*a$", "a.*b", "b[^ ]{0,9}a", "(aa|a)*b", r"^.{4,}\b", "a+|a+b+", "[]", "b"]
+    trees = [parse(k, p) for k, p in enumerate(patterns)]
+    texts = ["".join(rng.choice("aaabb \n") for _ in range(rng.randint(0, 70))) for _ in range(6)]
+    for cohorts in (True, False):
+        m = Matcher(trees, budget, 1, cohorts=cohorts)
+        units = np.array([ord(c) for t in texts for c in t], np.uint16)
+        rows = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        start, ordinal, end = m.events(units, rows)
+        row = np.searchsorted(rows, start, side="right") - 1
+        got = sorted(zip(row.tolist(), m.ids[ordinal].tolist(), (start - rows[row]).tolist(), (end - rows[row]).tolist(), strict=True))
+        assert got == sorted((k, *e) for k, t in enumerate(texts) for e in find([(p.pattern_id, p.tree) for p in trees], [ord(c) for c in t]))
+
+
+def test_long_matches_take_little_memory_and_time():
+    import resource
+
+    text = "x" * 300_000 + "\n" + "ab" * 50_000
+    m = MatcherBuilder().add(1, r"[^\n]+").add(2, "[^a]*").add(3, "(ab)+").build()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    units = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    start, ordinal, end = m.events(units, np.array([0, len(units)]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    n = np.bincount(ordinal)
+    assert n.tolist() == [400_000, 350_001, 50_000] and (end[(ordinal == 0) & (start < 300_000)] == 300_000).all() and (end[ordinal == 2] == len(units)).all()
+    assert (end[(ordinal == 1) & (start <= 300_000)] == 300_001).all()
+
+
+def test_beginnings_exclude_places():
+    m = MatcherBuilder().add(1, "abc").add(2, "xy[0-9]z").add(3, r"q\bq?").build()
+    text = "ab.abd.abc.xy1z.xyz.xy." * 4000
+    got = m.find(text)
+    off = MatcherBuilder().add(1, "abc").add(2, "xy[0-9]z").add(3, r"q\bq?").prefilter_enabled(False).build()
+    a, b = m.automata[0].counters, off.automata[0].counters
+    assert got == off.find(text) and len(got) == 8000 and a["admitted_starts"] == 8000 and a["masked_places"] == len(text)
+    dense = MatcherBuilder().add(1, "[a-z.]{3}").build()
+    assert len(dense.find(text)) > 60_000 and dense.automata[0].counters["mask_bypasses"] == 1 and b["masked_places"] == 0
