@@ -2,15 +2,20 @@
 
 import glob
 import os
+import random
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textmesh import queries as Q
+from textmesh.functions import as_units, is_empty, text_units
 from textmesh.operators import events as ev
 from textmesh.operators import scan as sc
+from textmesh.plans import automaton
 from textmesh.plans.matcher import MatcherBuilder
 from textmesh.sources import files, generators
 
@@ -23,6 +28,10 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -100,11 +109,39 @@ def test_digest(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([(1, 4.0), (1, 1.0), (1, 3.0), (1, 2.0), (2, 7.0)], "k long, v double")
     assert rows(ev.upper_median(df, "v", ["k"])) == [(1, 3.0), (2, 7.0)]
+    assert rows(ev.upper_median(df, "v")) == [(3.0,)] and rows(ev.upper_median(df.limit(0), "v")) == [] and rows(ev.upper_median(df.limit(0), "v", ["k"])) == []
+    r = random.Random(2)
+    values = [(r.choice([None, 1, 2]), r.choice([None, *range(1000)])) for _ in range(40_000)] + [(3, 5)] * 20_000
+    df = spark.createDataFrame(values, "k long, v long")
+    want = {}
+    for k in (None, 1, 2, 3):
+        own = sorted(v for x, v in values if x == k and v is not None)
+        want[k] = own[len(own) // 2]
+    assert {x.k: x.median for x in ev.upper_median(df, "v", ["k"]).collect()} == want
+    own = sorted(v for _, v in values if v is not None)
+    assert ev.upper_median(df, "v").collect()[0].median == own[len(own) // 2]
 
 
 def test_leftmost_longest(spark):
     df = spark.createDataFrame([(1, "aaaa")], "id long, text string")
     assert rows(ev.leftmost_longest(sc.scan(df, matcher("aa", "a{3}")), ["id"])) == [(1, 1, 0, 2), (1, 1, 2, 4), (1, 2, 0, 3)]
+    r = random.Random(8)
+    df = spark.createDataFrame([(r.choice([None, k]), "x", "".join(r.choice("ab ") for _ in range(r.randint(0, 60)))) for k in range(80)], "id long, part string, text string").dropDuplicates(["id"])
+    m = matcher("[ab]+", "aa|aab", " ?b.")
+    order = lambda df: sorted(map(str, rows_of(df)))
+    want = []
+    for row in df.collect():
+        for i in (1, 2, 3):
+            last = 0
+            for _, a, b in (e for e in m.find(row.text) if e[0] == i):
+                if a >= last:
+                    want.append((row.id, row.part, i, a, b))
+                    last = b
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert order(ev.leftmost_longest(sc.scan(df, m), ["id", "part"])) == sorted(map(str, want)) == order(sc.scan_leftmost(df, m))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_pattern_files(spark, tmp_path):
@@ -131,6 +168,11 @@ def test_other_sources(spark, tmp_path):
     j = tmp_path / "f.jsonl"
     j.write_text('{"schema_version":1,"case_id":"x","compatibility_tier":"t","expectation":"matched","patterns":[{"pattern_id":1,"utf16":[97]}],"input_utf16":[97,55296]}\n')
     assert files.read_fixtures(spark, str(j)).first().input_utf16 == [97, 55296]
+    good = j.read_text()
+    for bad in (good.replace('"case_id":"x",', ""), good.replace("{", '{"other":1,', 1), good.replace("55296", "65536"), good.replace('"x"', "1"), "[]\n", "{\n", good.replace('"pattern_id":1,', "")):
+        j.write_text(good + "\n" + bad)
+        with pytest.raises(ValueError, match="line 3"):
+            files.read_fixtures(spark, str(j))
     files.write_receipt(spark.createDataFrame([(1, "a")], "n long, s string"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
 
@@ -151,6 +193,36 @@ def test_split_of_one_long_text(spark):
     df = spark.createDataFrame([(1, "xy" * 5000), (2, None), (3, "")], "id long, text string")
     m = matcher("xyx", "y$")
     assert rows(sc.scan_split(df, m, piece=777)) == rows(sc.scan(df, m))
+    r = random.Random(4)
+    texts = [(k, "".join(r.choice("ab\n é😀") for _ in range(r.randint(0, 300)))) for k in range(30)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    for m in (matcher("a.{0,4}b", r"\ba", "^ab?", "b$", r"b\B", "."), matcher("[ab]+", "é")):
+        want = rows(sc.scan(df, m))
+        assert rows(sc.scan_split(df, m, piece=7)) == want
+        assert rows(sc.scan_split(df.withColumn("text", F.encode("text", "UTF-16LE")), m, piece=7)) == want
+        assert rows(sc.scan_split(df.withColumn("text", as_units(F.col("text"))), m, piece=7)) == want
+    wide = df.withColumnsRenamed({"id": "lo"}).withColumn("units", F.lit(1))
+    assert rows(sc.scan_split(wide, m, piece=7).drop("units")) == want
+
+
+def test_unit_functions(spark):
+    df = spark.createDataFrame([(1, "a😀é"), (2, ""), (3, None)], "id long, text string")
+    assert rows(df.select("id", as_units(F.col("text")), text_units(F.col("text")), is_empty(F.col("text")))) == [(1, [97, 0xD83D, 0xDE00, 233], 4, False), (2, [], 0, True), (3, None, None, None)]
+
+
+def test_counts_and_members_in_small_parts(spark, monkeypatch):
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, "".join(r.choice("abc ") for _ in range(r.randint(0, 90)))) for k in range(40)], "id long, text string")
+    m = matcher("a+", r"\bb", "c", "abcabcabc")
+    want = Counter((x.id, x.pattern_id) for x in sc.scan(df, m).collect())
+    for name, value in (("CHUNK", 20), ("MEET", 2)):
+        monkeypatch.setattr(automaton, name, value)
+    table = pa.array([x.text for x in df.orderBy("id").collect()])
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(sc, "CELLS", cells)
+        got = sc._count_list(m, table).to_pylist()
+        assert {(k, x["pattern_id"]): x["n"] for k, row in enumerate(got) for x in row} == want
+    assert {(k, x) for k, row in enumerate(sc._member_list(m, table).to_pylist()) for x in row} == set(want)
 
 
 def test_hash_columns():
@@ -167,6 +239,13 @@ def test_counts_by_aggregate(spark, sf_dir):
 def test_diagnostics(spark):
     df = spark.createDataFrame([("xxab",), ("ab",), (None,)], "text string").coalesce(1)
     r = sc.diagnostics(df, matcher("ab", r"\bx")).first().asDict()
-    assert r["texts"] == 3 and r["units"] == 6 and r["starts"] == 12 and r["admitted_starts"] == 4 and r["events"] == 3 and r["automata"] == 2 and r["assertion_automata"] == 1
+    assert r["texts"] == 3 and r["units"] == 6 and r["starts"] == 12 and r["admitted_starts"] == 4 and r["events"] == 3 and r["automata"] == 2 and r["assertion_automata"] == 1 and r["start_path"] == "beginnings" and r["state_path"] == "table"
     off = MatcherBuilder().add(1, "ab").prefilter_enabled(False).literal_prefilter_enabled(False).cohort_compilation_enabled(False).build()
-    assert sc.diagnostics(df, off).first().admitted_starts == 6
+    assert sc.diagnostics(df, off).first().admitted_starts == 6 and sc.diagnostics(df, off).first().start_path == "all"
+    plain = MatcherBuilder().add(1, "ab").add(2, "x*").state_cache_budget(0).build()
+    both = sc.diagnostics(df.repartition(3), plain)
+    m = sc.merge_diagnostics(both).first()
+    assert m.state_path == "plain" and m.texts == 3 and m.units == 6 and m.fallback_transitions > 0 and m.states_made <= 3 * both.count() and m.workers == 1 and m.events == 4
+    assert sc.merge_diagnostics(both.limit(0)).first().texts == 0
+    rows_ = sc.diagnostics(df, off).select("start_path", *(c for c in both.columns if c != "start_path")).unionByName(both)
+    assert sc.merge_diagnostics(rows_).first().start_path == "mixed"

@@ -1,9 +1,28 @@
-"""Column helpers: code units and recovered text."""
+"""Column helpers: code units of texts."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def text_units(text: Column) -> Column:
+    """Code units of a text; null for null."""
+    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+
+
+def as_units(text: Column) -> Column:
+    """The code units of a text as array<int>, half of a pair at a time."""
+    raw = F.hex(F.encode(text, "UTF-16LE"))
+    at = F.when(F.length(raw) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(raw) - 3, F.lit(4)))
+    return F.transform(at, lambda i: F.conv(F.concat(F.substring(raw, i + 2, F.lit(2)), F.substring(raw, i, F.lit(2))), 16, 10).cast("int"))
+
+
+def is_empty(text: Column) -> Column:
+    """Whether a text, or UTF-16LE value, has no unit; null for null."""
+    return F.octet_length(text) == 0
 
 
 def utf16_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmesh.operators.scan import without_overlap
+
 
 def pattern_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("pattern_id").agg(F.count("*").alias("n"))
@@ -19,14 +22,35 @@ def matched_ids(events: DataFrame) -> DataFrame:
 
 def leftmost_longest(events: DataFrame, keys: list[str]) -> DataFrame:
     """The events of each text and pattern that a scan from the left would
-    take without overlap: a running maximum of taken ends can't be a window,
-    so each text's events, which are together anyway, are folded in order."""
-    order = F.array_sort(F.collect_list(F.struct("start", "end")))
-    take = F.aggregate(
-        order, F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, e: F.when((F.size(acc) == 0) | (e["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))), F.concat(acc, F.array(e))).otherwise(acc),
-    )
-    return events.groupBy(*keys, "pattern_id").agg(take.alias("__taken")).select(*keys, "pattern_id", F.inline("__taken"))
+    take without overlap.  Events stream past in order of start, and only the
+    last end that was taken is held.  Where the texts are at hand,
+    `scan.scan_leftmost` needs no shuffle."""
+    by = [*keys, "pattern_id"]
+    kind = events.select(*by, "start", "end").schema
+
+    def run(it):
+        held, last = None, 0  # the group of the last batch's last row, and its last end
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            start, end = (batch.column(len(by) + k).to_numpy() for k in range(2))
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for k in range(len(by)):
+                col = batch.column(k)
+                new[1:] |= ~pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False) & ~pc.and_(pc.is_null(col[1:]), pc.is_null(col[:-1])).to_numpy(zero_copy_only=False)
+            group = np.cumsum(new)
+            first = [batch.column(k)[0].as_py() for k in range(len(by))]
+            free = (group > 1) | (start >= last) if held == first else np.ones(len(start), bool)
+            at = np.flatnonzero(free)
+            at = at[without_overlap(group[at], start[at], end[at])]
+            held = [batch.column(k)[batch.num_rows - 1].as_py() for k in range(len(by))]
+            mine = at[group[at] == group[-1]]
+            last = int(end[mine[-1]]) if len(mine) else last
+            yield batch.take(pa.array(at))
+
+    ordered = events.select(*by, "start", "end").repartition(*by).sortWithinPartitions(*by, "start", "end")
+    return ordered.mapInArrow(run, kind)
 
 
 def first_events(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,8 +108,32 @@ def ordered_digest(events: list[tuple[int, int, int]]) -> str:
     return f"{h:016x}"
 
 
+#: Rows up to which a group is ordered as a whole by `upper_median`.
+SMALL_GROUP = 10_000
+
+
 def upper_median(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """The upper middle of each group's sorted values."""
-    ordered = F.array_sort(F.collect_list(value))
-    pick = F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1).alias("median")
-    return df.groupBy(*(keys or [])).agg(pick)
+    """The upper middle of each group's sorted numbers (null ones don't count).
+
+    Approximate percentiles bracket the middle of a large group, so that only
+    what lies between them is ordered; what lies below is counted."""
+    keys = keys or []
+    held, v, bottom, top, total = "__held", F.col(value), "__bottom", "__top", "__total"
+    rows = df.where(v.isNotNull()).select(*keys, v)
+    near = F.percentile_approx(value, F.array(F.lit(0.49), F.lit(0.51)), F.lit(10_000))
+    bracket = rows.groupBy(*keys).agg(F.count("*").alias(total), F.min(v).alias("__min"), F.max(v).alias("__max"), near.alias("__near"))
+    small = F.col(total) <= SMALL_GROUP
+    bracket = bracket.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), total, F.when(small, F.col("__min")).otherwise(F.col("__near")[0]).alias(bottom), F.when(small, F.col("__max")).otherwise(F.col("__near")[1]).alias(top))
+    if keys:
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & rows[k].eqNullSafe(F.col(f"__k{i}"))
+        met = rows.join(bracket, same).drop(*(f"__k{i}" for i in range(len(keys))))
+    else:
+        n, lo, hi = bracket.first()
+        met = rows.withColumns({total: F.lit(n).cast("long"), bottom: F.lit(lo), top: F.lit(hi)})
+    kind = rows.schema[value].dataType
+    each = met.where(v <= F.col(top)).groupBy(*keys, F.when(v >= F.col(bottom), v).cast(kind).alias("median")).agg(F.count("*").alias(held), F.max(total).alias(total))
+    upto = F.sum(held).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("median").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.floor(F.col(total) / 2) + 1
+    return each.withColumn("__upto", upto).where(F.col("median").isNotNull() & (F.col("__upto") >= rank) & (F.col("__upto") - F.col(held) < rank)).select(*keys, "median")

@@ -46,6 +46,13 @@ def compare(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return j.select("case_id", verdict.alias("problem")).where("problem is not null")
 
 
-def totals(actual: DataFrame) -> DataFrame:
-    """Cases, matched, rejected and events of each family, and of all."""
-    return actual.rollup("family").agg(F.count("*").alias("cases"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.coalesce(F.sum(F.size("events")), F.lit(0)).alias("events"))
+def totals(actual: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Cases, matched, rejected and events of each family, and of all; with
+    the expected results also how many cases were compared, and differ."""
+    sums = [F.count("*").alias("cases"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.coalesce(F.sum(F.size("events")), F.lit(0)).alias("events")]
+    if expected is not None:
+        want = expected.select("case_id", F.struct("status", "events").alias("__want"))
+        actual = actual.join(want, "case_id", "left")
+        differs = ~F.col("__want").eqNullSafe(F.struct("status", "events"))
+        sums += [F.count("__want").alias("comparisons"), F.count_if(F.col("__want").isNotNull() & differs).alias("differences")]
+    return actual.rollup("family").agg(*sums)

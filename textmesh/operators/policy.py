@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from textmesh.functions import utf16_batch
+from textmesh.operators.scan import bounded
 from textmesh.plans import expr as E
 from textmesh.plans.matcher import Matcher, MatcherBuilder
 
-#: Fixed values of the policy.
+#: Fixed values of the policy and names of its reasons.
 MIN_PATTERNS = 256
 PREFIX_UNITS = 5
 MIN_UNITS = 1 << 20
@@ -61,6 +62,7 @@ class PrefixMatcher:
         if len(shared) < PREFIX_UNITS or not all(0 < u < 128 for u in shared):
             raise Ineligible("no_shared_five_unit_ascii_prefix")
         self.matcher, self.min_units = matcher, min_units
+        self.acceleration, self.literal_acceleration = matcher.prefilter, matcher.literal_prefilter
         self.assertion_patterns, self.prefix = len(bearing), "".join(map(chr, shared))
 
     def candidates(self, units: np.ndarray) -> np.ndarray:
@@ -72,51 +74,79 @@ class PrefixMatcher:
                 mask[:n] &= units[k : n + k] == ord(c)
         return mask
 
-    def scan_text(self, units: np.ndarray, policy: str):
-        """((start, ordinal, end) or None, backend, reason, candidates)."""
-        reason, mask = None, None
+    def decide(self, units: np.ndarray) -> tuple[str | None, np.ndarray | None]:
+        """(reason why the text is scanned in the general way, or else None;
+        the candidates)."""
+        if not self.acceleration:
+            return "acceleration_disabled", None
+        if not self.literal_acceleration:
+            return "literal_acceleration_disabled", None
         if len(units) < self.min_units:
-            reason = "input_too_short"
-        else:
-            mask = self.candidates(units)
-            sample = mask[:SAMPLE_UNITS]
-            if 2 * int(sample.sum()) >= len(sample):
-                reason = "candidate_sample_too_dense"
+            return "input_too_short", None
+        mask = self.candidates(units)
+        sample = mask[:SAMPLE_UNITS]
+        if 2 * int(np.count_nonzero(sample)) >= len(sample):
+            return "candidate_sample_too_dense", None
+        return None, mask
+
+    def scan_text(self, units: np.ndarray, policy: str):
+        """(start, ordinal, end), or None if the policy refuses the text."""
+        reason, mask = self.decide(units)
         rows = np.array([0, len(units)])
-        if reason and policy == REQUIRE_SPECIALIZED:
-            return None, "refused", reason, 0
         if reason:
-            return self.matcher.events(units, rows), "exact", reason, 0
+            return None if policy == REQUIRE_SPECIALIZED else self.matcher.events(units, rows)
         got = [a.scan(units, rows, only=mask if a.facts else None) for a in self.matcher.automata]
         start, ordinal, end = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((ordinal, start))
-        return (start[order], ordinal[order], end[order]), "assertion_prefix", None, int(mask.sum())
+        return start[order], ordinal[order], end[order]
+
+
+#: What a report has of each row besides its keys.
+REPORT = "struct<backend: string, specialized: boolean, reason: string, input_units: bigint, minimum_units: bigint, candidates: bigint, candidate_bytes: bigint>"
+EVENTS = "array<struct<pattern_id: bigint, start: bigint, end: bigint>>"
 
 
-_RESULT = "struct<events: array<struct<pattern_id: bigint, start: bigint, end: bigint>>, backend: string, reason: string, candidates: bigint>"
+def _texts(column: pa.Array):
+    units, rows = utf16_batch(column)
+    return (units[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
 
 
 def scan_with_policy(df: DataFrame, matcher: PrefixMatcher, policy: str, column: str = "text", keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, report): the report has the keys, policy, backend (`refused`,
-    `exact` or `assertion_prefix`), reason and candidates of each row."""
+    """(events, report).  The report has the keys, policy, static eligibility
+    (assertion patterns and shared prefix), backend (`refused`, `exact` or
+    `assertion_prefix`), whether it is the specialised one, the reason if not,
+    lengths, candidates and the bytes of their bitmap (one bit for each unit).
+    It looks for candidates only, so neither side repeats the other's scan."""
     if policy not in (REQUIRE_SPECIALIZED, ALLOW_EXACT_FALLBACK):
         raise ValueError(f"unknown policy {policy!r}")
     keys = [c for c in df.columns if c != column] if keys is None else keys
     shared = df.sparkSession.sparkContext.broadcast(matcher)
 
-    @arrow_udf(_RESULT)
-    def run(col: pa.Array) -> pa.Array:
+    @arrow_udf(EVENTS)
+    def find(col: pa.Array) -> pa.Array:
         m = shared.value
-        lists, backend, reason, candidates = [], [], [], []
-        for k in range(len(col)):
-            units, _ = utf16_batch(col.slice(k, 1))
-            got, b, r, n = m.scan_text(units, policy)
-            lists.append([] if got is None else [{"pattern_id": i, "start": s, "end": e} for s, i, e in zip(got[0].tolist(), m.matcher.ids[got[1]].tolist(), got[2].tolist(), strict=True)])
-            backend.append(b)
-            reason.append(r)
-            candidates.append(n)
-        kind = pa.list_(pa.struct([("pattern_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(lists, kind), pa.array(backend, pa.string()), pa.array(reason, pa.string()), pa.array(candidates, pa.int64())], names=["events", "backend", "reason", "candidates"])
-
-    done = df.select(*keys, run(F.col(column)).alias("__r"))
-    return done.select(*keys, F.inline("__r.events")), done.select(*keys, F.lit(policy).alias("policy"), "__r.backend", "__r.reason", "__r.candidates")
+        size, ids, starts, ends = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for units in _texts(col):
+            got = m.scan_text(units, policy)
+            size.append(0 if got is None else len(got[0]))
+            if size[-1]:
+                starts.append(got[0])
+                ids.append(m.matcher.ids[got[1]])
+                ends.append(got[2])
+        items = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, starts, ends)], names=["pattern_id", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), items)
+
+    @arrow_udf(REPORT)
+    def tell(col: pa.Array) -> pa.Array:
+        m, rows = shared.value, []
+        for units in _texts(col):
+            reason, mask = m.decide(units)
+            backend = "assertion_prefix" if reason is None else "refused" if policy == REQUIRE_SPECIALIZED else "exact"
+            n = 0 if mask is None else int(np.count_nonzero(mask))
+            rows.append({"backend": backend, "specialized": reason is None, "reason": reason, "input_units": len(units), "minimum_units": m.min_units, "candidates": n, "candidate_bytes": 0 if mask is None else -(-len(units) // 8)})
+        kinds = [("backend", pa.string()), ("specialized", pa.bool_()), ("reason", pa.string()), *((c, pa.int64()) for c in ("input_units", "minimum_units", "candidates", "candidate_bytes"))]
+        return pa.array(rows, pa.struct(kinds))
+
+    events = bounded(df).select(*keys, F.inline(find(F.col(column))))
+    report = df.select(*keys, tell(F.col(column)).alias("__r"))
+    return events, report.select(*keys, F.lit(policy).alias("policy"), F.lit(matcher.assertion_patterns).alias("assertion_patterns"), F.lit(matcher.prefix).alias("shared_prefix"), "__r.*")

@@ -15,13 +15,28 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from textmesh.functions import utf16_batch
-from textmesh.plans.automaton import COUNTERS
+from textmesh.plans import expr as E
+from textmesh.plans.automaton import COUNTERS, PEAKS
 from textmesh.plans.matcher import Matcher
 
 EVENTS = "array<struct<pattern_id: bigint, start: bigint, end: bigint>>"
 COUNTS = "array<struct<pattern_id: bigint, n: bigint>>"
 #: Code units that one step of a batch scans; a longer text goes alone.
 STEP_UNITS = 4 << 20
+#: Bytes of a record batch that Spark hands to Python at most; a longer text goes alone.
+BATCH_BYTES = 8 << 20
+#: Cells (text, pattern) of a step that are counted in one array.
+CELLS = 1 << 22
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose record batches have `BATCH_BYTES` at most, as a
+    batch's events are held together."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def _share(df_or_spark, matcher: Matcher):
@@ -40,38 +55,111 @@ def _steps(column: pa.Array):
         lo = hi
 
 
-def _event_list(matcher: Matcher, column: pa.Array) -> pa.Array:
-    size, ids, starts, ends = [np.zeros(0, np.int64)], [], [], []
+def _lists(kind: list[str], size: list, *columns) -> pa.ListArray:
+    """One list of structs for each row, from parts of sizes and columns."""
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    offsets = np.concatenate(([0], np.cumsum(cat(size)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(cat(x), pa.int64()) for x in columns], names=kind))
+
+
+def _event_list(matcher: Matcher, column: pa.Array, choose=None) -> pa.Array:
+    """choose: the places of the events (row, ordinal, start, end) to keep."""
+    size, ids, starts, ends = [], [], [], []
     for lo, hi, units, rows in _steps(column):
         start, ordinal, end = matcher.events(units, rows)
         row = np.searchsorted(rows, start, side="right") - 1
+        if choose is not None:
+            at = choose(row, ordinal, start, end)
+            start, ordinal, end, row = start[at], ordinal[at], end[at], row[at]
         size.append(np.bincount(row, minlength=hi - lo))
         ids.append(matcher.ids[ordinal])
         starts.append(start - rows[row])
         ends.append(end - rows[row])
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    offsets = np.concatenate(([0], np.cumsum(np.concatenate(size)))).astype(np.int32)
-    items = pa.StructArray.from_arrays([pa.array(cat(x), pa.int64()) for x in (ids, starts, ends)], names=["pattern_id", "start", "end"])
-    return pa.ListArray.from_arrays(pa.array(offsets), items)
+    return _lists(["pattern_id", "start", "end"], size, ids, starts, ends)
 
 
-def _count_list(matcher: Matcher, column: pa.Array) -> pa.Array:
-    size, ids, counts = [np.zeros(0, np.int64)], [], []
-    k = len(matcher.ids)
+def _by_id(matcher: Matcher):
     by_id = np.argsort(matcher.ids)
-    rank = np.empty(k, np.int64)
-    rank[by_id] = np.arange(k)
+    rank = np.empty(len(by_id), np.int64)
+    rank[by_id] = np.arange(len(by_id))
+    return matcher.ids[by_id], rank
+
+
+def _count_list(matcher: Matcher, column: pa.Array) -> pa.Array:
+    """The events of one chunk of starts are held at a time."""
+    size, found, counts = [], [], []
+    ids, rank = _by_id(matcher)
+    k = len(ids)
     for lo, hi, units, rows in _steps(column):
-        start, ordinal, _ = matcher.events(units, rows)
-        row = np.searchsorted(rows, start, side="right") - 1
-        cell, n = np.unique(row * k + rank[ordinal], return_counts=True)
+        dense = np.zeros((hi - lo) * k, np.int64) if (hi - lo) * k <= CELLS else None
+        cells, times = [], []
+        for automaton in matcher.automata:
+            for start, ordinal, _ in automaton.scan_chunks(units, rows):
+                cell = (np.searchsorted(rows, start, side="right") - 1) * k + rank[ordinal]
+                if dense is not None:
+                    dense += np.bincount(cell, minlength=len(dense))
+                else:
+                    c, n = np.unique(cell, return_counts=True)
+                    cells.append(c)
+                    times.append(n)
+        if dense is not None:
+            cell = np.flatnonzero(dense)
+            n = dense[cell]
+        else:
+            c, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (cells, times))
+            cell, at = np.unique(c, return_inverse=True)
+            n = np.bincount(at, n, minlength=len(cell)).astype(np.int64)
         size.append(np.bincount(cell // k, minlength=hi - lo))
-        ids.append(matcher.ids[by_id][cell % k])
+        found.append(ids[cell % k])
         counts.append(n)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return _lists(["pattern_id", "n"], size, found, counts)
+
+
+def _member_list(matcher: Matcher, column: pa.Array) -> pa.Array:
+    """Sorted ids with an event; a text in which an automaton has found all its
+    patterns isn't scanned on."""
+    ids, rank = _by_id(matcher)
+    k, size, found = len(ids), [np.zeros(0, np.int64)], []
+    for lo, hi, units, rows in _steps(column):
+        cells = []
+        for automaton in matcher.automata:
+            own, seen, only = len(automaton.ends), np.zeros(hi - lo, np.int64), np.ones(len(units), bool)
+            mine = np.zeros(0, np.int64)
+            for start, ordinal, _ in automaton.scan_chunks(units, rows, only=only):
+                cell = np.unique((np.searchsorted(rows, start, side="right") - 1) * k + rank[ordinal])
+                new = np.setdiff1d(cell, mine, assume_unique=True)
+                mine = np.union1d(mine, new)
+                if len(new):
+                    seen += np.bincount(new // k, minlength=hi - lo)
+                    for r in np.unique(new // k)[seen[np.unique(new // k)] == own]:
+                        only[rows[r] : rows[r + 1]] = False
+            cells.append(mine)
+        cell = np.sort(np.concatenate(cells))
+        size.append(np.bincount(cell // k, minlength=hi - lo))
+        found.append(ids[cell % k])
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(size)))).astype(np.int32)
-    items = pa.StructArray.from_arrays([pa.array(cat(x), pa.int64()) for x in (ids, counts)], names=["pattern_id", "n"])
-    return pa.ListArray.from_arrays(pa.array(offsets), items)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64()))
+
+
+def without_overlap(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places of the events that a scan from the left takes in each group;
+    events are sorted by group and start, one for each."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    span = int(end.max()) + 1
+    key = group * span + start
+    after = np.searchsorted(key, group * span + end).tolist()  # where nothing is left, the next group's first
+    out, at = [], 0
+    while at < len(after):
+        out.append(at)
+        at = after[at]
+    return np.array(out)
+
+
+def _leftmost(row, ordinal, start, end):
+    order = np.lexsort((start, ordinal, row))
+    group = np.cumsum(np.diff(row[order], prepend=-1).astype(bool) | np.diff(ordinal[order], prepend=-1).astype(bool))
+    return np.sort(order[without_overlap(group, start[order], end[order])])
 
 
 def events_udf(spark, matcher: Matcher):
@@ -85,6 +173,28 @@ def events_udf(spark, matcher: Matcher):
     return find_events
 
 
+def members_udf(spark, matcher: Matcher):
+    """Arrow UDF: the sorted ids of the patterns that have an event."""
+    shared = _share(spark, matcher)
+
+    @arrow_udf("array<bigint>")
+    def find_members(column: pa.Array) -> pa.Array:
+        return _member_list(shared.value, column)
+
+    return find_members
+
+
+def leftmost_udf(spark, matcher: Matcher):
+    """Arrow UDF: the events of each pattern that don't overlap, from the left."""
+    shared = _share(spark, matcher)
+
+    @arrow_udf(EVENTS)
+    def find_leftmost(column: pa.Array) -> pa.Array:
+        return _event_list(shared.value, column, _leftmost)
+
+    return find_leftmost
+
+
 def counts_udf(spark, matcher: Matcher):
     """Arrow UDF: the number of events of each pattern that has any; no event
     leaves the Python worker."""
@@ -111,6 +221,7 @@ def row_filter(matcher: Matcher, text: Column) -> Column | None:
 
 
 def _source(df: DataFrame, matcher: Matcher, column: str, outer: bool) -> DataFrame:
+    bounded(df)
     if matcher.prefilter and matcher.literal_prefilter and not outer and isinstance(df.schema[column].dataType, StringType) and (keep := row_filter(matcher, F.col(column))) is not None:
         return df.where(keep)
     return df
@@ -137,8 +248,14 @@ def counts(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str
 def membership(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str] | None = None) -> DataFrame:
     """keys and the sorted array of the ids that have an event in the row."""
     keys = [c for c in df.columns if c != column] if keys is None else keys
-    found = counts_udf(df.sparkSession, matcher)(F.col(column))
-    return df.select(*keys, F.transform(found, lambda x: x["pattern_id"]).alias("pattern_ids"))
+    return bounded(df).select(*keys, members_udf(df.sparkSession, matcher)(F.col(column)).alias("pattern_ids"))
+
+
+def scan_leftmost(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str] | None = None) -> DataFrame:
+    """Of each pattern's events in a row those that a scan from the left takes
+    without overlap; nothing is shuffled."""
+    keys = [c for c in df.columns if c != column] if keys is None else keys
+    return _source(df, matcher, column, False).select(*keys, F.inline(leftmost_udf(df.sparkSession, matcher)(F.col(column))))
 
 
 def matched_text(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -164,28 +281,61 @@ def matched_text(df: DataFrame, matcher: Matcher, column: str = "text", keys: li
 
 
 def scan_split(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str] | None = None, piece: int = 1 << 20) -> DataFrame:
-    """As scan, but the starts of a long text are dealt over several rows, each
-    with the whole text, so that one text isn't one task's work."""
+    """As scan, but the starts of a long text are dealt over several tasks.
+
+    Texts of up to `piece` units are scanned where they are.  A longer one is
+    cut: if no match is longer than a known length, a piece goes with so many
+    units more and one before, so that what is shuffled is little more than
+    the long texts; otherwise each piece needs the whole text."""
     keys = [c for c in df.columns if c != column] if keys is None else keys
     shared = _share(df, matcher)
+    most = [E.most_consumed(p.tree) or 0 for p in matcher.patterns]
+    reach = None if E.UNBOUNDED in most else int(max(most))
 
     @arrow_udf(EVENTS)
-    def part(col: pa.Array, lo: pa.Array) -> pa.Array:
+    def part(col: pa.Array, lo: pa.Array, hi: pa.Array, base: pa.Array) -> pa.Array:
         size, ids, starts, ends = [], [], [], []
-        for k, at in enumerate(lo.to_pylist()):
+        for k, (a, b, at) in enumerate(zip(lo.to_pylist(), hi.to_pylist(), base.to_pylist(), strict=True)):
             units, rows = utf16_batch(col.slice(k, 1))
-            start, ordinal, end = shared.value.events(units, rows, at, min(len(units), at + piece))
-            size.append(len(start))
+            start, ordinal, end = shared.value.events(units, rows, a - at, min(len(units), b - at))
+            size.append([len(start)])
             ids.append(shared.value.ids[ordinal])
-            starts.append(start)
-            ends.append(end)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        items = pa.StructArray.from_arrays([pa.array(cat(x), pa.int64()) for x in (ids, starts, ends)], names=["pattern_id", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), items)
-
-    units = F.size(column) if isinstance(df.schema[column].dataType, ArrayType) else F.length(column) * 2
-    pieces = df.select(*keys, F.col(column).alias("__text"), F.explode(F.sequence(F.lit(0), F.greatest(units - 1, F.lit(0)), F.lit(piece))).alias("__lo"))
-    return pieces.repartition(F.xxhash64(*keys, "__lo") if keys else F.col("__lo")).select(*keys, F.inline(part("__text", "__lo")))
+            starts.append(start + at)
+            ends.append(end + at)
+        return _lists(["pattern_id", "start", "end"], size, ids, starts, ends)
+
+    names = _names(df, "units", "lo", "hi", "base")
+    kind = df.schema[column].dataType
+    if isinstance(kind, ArrayType):
+        size, whole = F.size(column), F.col(column)
+        cut = lambda a, n: F.slice(F.col(names[0]), a + 1, n)
+    else:
+        whole = F.encode(column, "UTF-16LE") if isinstance(kind, StringType) else F.col(column)
+        size = F.coalesce(F.octet_length(whole) / 2, F.lit(0)).cast("int")
+        cut = lambda a, n: F.substring(F.col(names[0]), 2 * a + 1, 2 * n)
+    # a text has no more units than twice its characters, so short ones aren't converted to be measured
+    long = F.length(column) * 2 > piece if isinstance(kind, StringType) else size > piece
+    short = scan(df.where(F.coalesce(~long, F.lit(True))), matcher, column, keys)
+    lo = F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(piece))).alias(names[1])
+    pieces = bounded(df).where(long).select(*keys, whole.alias(names[0]), lo).withColumn(names[2], F.col(names[1]) + piece)
+    if reach is None:
+        pieces = pieces.withColumn(names[3], F.lit(0))
+    else:
+        base = F.greatest(F.col(names[1]) - 1, F.lit(0))
+        pieces = pieces.withColumn(names[3], base).withColumn(names[0], cut(F.col(names[3]), F.lit(piece + reach + 2)))
+    dealt = pieces.repartition(F.xxhash64(*keys, names[1]) if keys else F.col(names[1]))
+    return short.unionByName(dealt.select(*keys, F.inline(part(*(F.col(n) for n in names)))))
+
+
+def _names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def register(spark, name: str, matcher: Matcher) -> None:
@@ -194,20 +344,39 @@ def register(spark, name: str, matcher: Matcher) -> None:
     spark.udf.register(name, events_udf(spark, matcher))
 
 
+#: Facts about the matcher that a row of diagnostics has.
+_MATCHER_FACTS = ["automata", "assertion_automata", "patterns", "workers", "state_budget", "beginnings_bytes"]
+
+
 def diagnostics(df: DataFrame, matcher: Matcher, column: str = "text") -> DataFrame:
-    """Counters of a scan, one row for each step of a batch: add them up, but
-    for peak_states and the last four, which are the same or a maximum."""
+    """Counters of a scan, one row for each step of a batch, with the path that
+    decided where matches may begin (`beginnings`, `first_unit`, `all`, `none`
+    of one row's automata, or `mixed`) and the state path (`table`, `plain`)."""
     shared = _share(df, matcher)
-    names = ["texts", "units", *COUNTERS, "automata", "assertion_automata", "patterns", "state_budget"]
+    names = ["texts", "units", *COUNTERS, *_MATCHER_FACTS]
 
     def run(it):
         m = shared.value
+        facts = [len(m.automata), sum(a.facts for a in m.automata), len(m.ids), m.workers, sum(a.budget for a in m.automata), sum(a.beginnings.nbytes for a in m.automata if a.beginnings is not None)]
         for batch in it:
             for lo, hi, units, rows in _steps(batch.column(0)):
                 for a in m.automata:
                     a.counters = dict.fromkeys(COUNTERS, 0)
                 m.events(units, rows)
-                row = [hi - lo, len(units), *(sum(a.counters[c] for a in m.automata) for c in COUNTERS), len(m.automata), sum(a.facts for a in m.automata), len(m.ids), sum(a.budget for a in m.automata)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=names)
-
-    return df.select(column).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+                paths = {"all" if not a.filter_starts else "beginnings" if a.counters["masked_places"] else "first_unit" for a in m.automata} if len(units) else {"none"}
+                row = [hi - lo, len(units), *(sum(a.counters[c] for a in m.automata) for c in COUNTERS), *facts]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([x], pa.int64()) for x in row), pa.array([paths.pop() if len(paths) == 1 else "mixed"]), pa.array(["plain" if m.budget == 0 else "table"])],
+                    names=[*names, "start_path", "state_path"],
+                )
+
+    return bounded(df).select(column).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", start_path string, state_path string")
+
+
+def merge_diagnostics(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row: sums of the counters, maxima of the peaks, facts as they are,
+    paths that differ as `mixed`; steps without text don't count for paths."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["texts", "units", *COUNTERS] if c not in PEAKS]
+    tops = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in [*sorted(PEAKS), *_MATCHER_FACTS]]
+    path = lambda c: F.when(F.count_distinct(F.nullif(F.col(c), F.lit("none"))) > 1, "mixed").otherwise(F.coalesce(F.max(F.nullif(F.col(c), F.lit("none"))), F.lit("none"))).alias(c)
+    return rows.groupBy(*(keys or [])).agg(*sums, *tops, path("start_path"), path("state_path"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that a literal pattern escapes.
 ESCAPED = "\\.*+?[]()|^$-{}"
@@ -68,10 +71,31 @@ def expand_corpus(text: str, size: int) -> str:
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """Strict JSON lines of semantic cases."""
-    return spark.read.schema(FIXTURE).option("mode", "FAILFAST").json(path)
-
-
-def write_receipt(df: DataFrame, path: str) -> None:
-    """One JSON object for each row."""
-    df.write.mode("overwrite").json(path)
+    """Strict JSON lines of semantic cases; empty lines don't count.  A line
+    that is no such object, lacks a field, has another or one of another type
+    raises ValueError with its number.  Fixtures are small: the lines are read
+    in order, on the driver."""
+    fields = {f.name: f.dataType for f in StructType.fromDDL(FIXTURE).fields}
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    rows = []
+    for k, r in enumerate(lines, 1):
+        if not r.value:
+            continue
+        try:
+            got = json.loads(r.value)
+            if not isinstance(got, dict) or got.keys() != fields.keys():
+                raise ValueError(f"the fields are {sorted(got) if isinstance(got, dict) else type(got).__name__}")
+            units = [got["input_utf16"], *(p["utf16"] for p in got["patterns"])]
+            if any(p.keys() != {"pattern_id", "utf16"} for p in got["patterns"]) or any(type(u) is not int or not 0 <= u < 1 << 16 for x in units for u in x):
+                raise ValueError("patterns or units are of another form")
+            if type(got["schema_version"]) is not int or any(not isinstance(got[c], str) for c in ("case_id", "compatibility_tier", "expectation")):
+                raise ValueError("a field has another type")
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise ValueError(f"line {k} is no fixture: {e}") from None
+        rows.append(tuple([(p["pattern_id"], p["utf16"]) for p in got[c]] if c == "patterns" else got[c] for c in fields))
+    return spark.createDataFrame(rows, FIXTURE)
+
+
+def write_receipt(df: DataFrame, path: str, **facts) -> None:
+    """One JSON object for each row, nulls included, with the facts told."""
+    df.withColumns({k: F.lit(v) for k, v in facts.items()}).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
