@@ -25,6 +25,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.where(_SPACE, 0, np.arange(256) + 1).astype(np.uint64)
+_WORD_LOWER = _WORD[_LOWER]
 LOWER_TABLE = bytes(_LOWER)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,38 +82,64 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document index of every word of the texts."""
-    if not len(buf):
-        z = np.zeros(0, np.int64)
+    return runs(~_SPACE[buf], offsets)
+
+
+def run_hashes(values: np.ndarray | None, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
+    """The polynomial in base of the values of the bytes of every run [start,
+    end), modulo 2**64; runs are in order; values None: a code's is the code
+    and one.  A step takes `CHUNK_BYTES` bytes,
+    and runs over its border are put together, so that memory doesn't grow
+    with the text."""
+    h = np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(buf) if len(starts) else 0, CHUNK_BYTES):
+        hi = min(len(buf), lo + CHUNK_BYTES)
+        a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(starts, hi)
+        if a >= b:
+            continue
+        prefix = np.zeros(hi - lo + 1, np.uint64)
+        value = buf[lo:hi].astype(np.uint64) + np.uint64(1) if values is None else values[buf[lo:hi]]
+        np.cumsum(value * powers(base, hi - lo), out=prefix[1:])
+        first = np.maximum(starts[a:b], lo) - lo
+        part = (prefix[np.minimum(ends[a:b], hi) - lo] - prefix[first]) * powers(inverse, hi - lo)[first]
+        if starts[a] < lo:
+            part[0] *= np.uint64(pow(int(base), int(lo - starts[a]), 1 << 64))
+        h[a:b] += part
+    return h
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every run of True inside a document."""
+    z = np.zeros(0, np.int64)
+    if not len(inside):
         return z, z, z
-    inside = ~_SPACE[buf]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    firsts = offsets[:-1][offsets[:-1] < len(buf)]
-    before[firsts] = False
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    lasts = offsets[1:] - 1
-    after[lasts[lasts >= 0]] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(inside))]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of every word: a polynomial over its bytes, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    if lower:
-        buf = _LOWER[buf]
-    lo = int(starts[0])
-    value = _WORD[buf[lo:]] * powers(_BASE, len(buf) - lo)
-    rel = starts - lo
-    h = np.add.reduceat(value, rel) * powers(_BASE_INV, len(buf) - lo)[rel]
+    h = run_hashes(_WORD_LOWER if lower else _WORD, buf, starts, ends, _BASE, _BASE_INV)
     return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def batches(it, limit: int = CHUNK_BYTES, text: str = "text"):
     """(slice of the record batch, bytes, offsets) in steps of bounded size."""
     for batch in it:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, mix64, partitions, small_batches, word_hashes, words
+from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, mix64, partitions, small_batches, unused, word_hashes, words
 from textmesh.llm.substring import window_hashes
 
 SHINGLE = 4
@@ -59,8 +59,10 @@ def fingerprints_of(buf: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) ->
     count = np.where(last > first, np.maximum(last - first - shingle + 1, 1), 0)
     at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
     upto = np.minimum(at + shingle, np.repeat(last, count)) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], 42) for a, b in zip(start[at].tolist(), end[upto].tolist(), strict=True)], dtype=np.uint64)
+    digest, h = xxhash.xxh64_intdigest, np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), 1 << 16):  # few Python objects at a time
+        part = slice(lo, lo + (1 << 16))
+        h[part] = [digest(text[a:b], 42) for a, b in zip(start[at[part]].tolist(), end[upto[part]].tolist(), strict=True)]
     cuts = np.concatenate(([0], np.cumsum(count)))
     some = np.flatnonzero(count)
     for lo in range(0, len(some), 64):  # a few documents at a time: 64 bytes for each shingle
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     low = each.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = components(links(low.select("fp"), distance))
     group = low.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = group.groupBy("root").agg(F.min("low").alias("component_id"))
+    least = checkpoint(group.groupBy("root").agg(F.min("low").alias("component_id")))  # so that the join can split a large component
     ids = group.join(least, "root").select("fp", "component_id")
     return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -465,9 +467,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
     groups = similar_texts(texts, read, least, distance).withColumnRenamed("node", "id")
     member = texts.select("id", "copy", "low", "n").join(groups, "id", "left").select("copy", "low", "n", F.coalesce("root", "id").alias("root"))
     kept = member.groupBy("root").agg(F.min("low").alias("kept"), F.sum("n").alias("size")).where("size > 1")
-    decided = member.join(kept, "root").select(F.col("copy").alias("__copy"), F.col("kept").alias("__kept"), F.lit(True).alias("__grouped"))
-    j = docs.withColumn("__copy", copy).join(decided, "__copy", "left")
-    return j.where(F.col("__grouped").isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, stays, grouped = unused(docs, "copy", "kept", "grouped")
+    decided = checkpoint(member.join(checkpoint(kept), "root").select(F.col("copy").alias(own), F.col("kept").alias(stays), F.lit(True).alias(grouped)))
+    j = docs.withColumn(own, copy).join(decided, own, "left")
+    return j.where(F.col(grouped).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(stays))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_simhash(spark, sf_dir):

@@ -12,12 +12,20 @@ maximal removal intervals.
 A hot window leaves one entry for each block of `BLOCK_WINDOWS` windows, not
 one for each document, so no bucket grows with the copies of a passage.
 
+Marks belong to a row's key, the hash of its doc_id and text; rows that are
+copies, doc_id included, share them, and rows without doc_id, or with one that
+many rows have, are as many keys as they have texts.  Only rows whose key may
+have marks are shuffled to meet them: a Bloom filter of the keys, of at most
+`FILTER_BITS` bits, tells which; all others are passed on where they are.
+
 Defined results: null text has no words; texts shorter than a window lose
 nothing; rows that repeat a doc_id are no smaller than each other, and a mark
 applies only where the row's own window has the marked hash; a null doc_id
-counts as larger than all others; extra columns are left alone.  Two windows
-are taken as equal if 64 bits of hash are; for a corpus of n windows the
-expected number of false pairs is n*n / 2**65.
+counts as larger than all others; an empty table gives an empty one; extra
+columns, whatever their names, are left alone.  A long text goes alone and
+takes a small multiple of its size.  Two windows are taken as equal if 64 bits
+of hash are; for a corpus of n windows the expected number of false pairs is
+n*n / 2**65.
 """
 
 from __future__ import annotations
@@ -27,14 +35,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from textmesh.llm.common import batches, buckets_for, ids_of, mix64, partitions, planes, powers, small_batches, spark_hash, unplanes, utf8, word_hashes, words
+from textmesh.llm.common import batches, buckets_for, checkpoint, ids_of, mix64, partitions, planes, powers, small_batches, unplanes, unused, word_hashes, words
 
 WINDOW = 50
 #: Windows that a task reduces among themselves before it writes them.
 BLOCK_WINDOWS = 1_000_000
+#: Bits of the filter of marked keys: so many for each key, and at most; bits set for a key.
+KEY_BITS, FILTER_BITS, PROBES = 16, 1 << 27, 4
 
 _BASE = np.uint64(0xA24BAED4963EE407)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -61,208 +72,262 @@ def _windows(buf, off, window):
     return h[at], d, at - first[d]
 
 
-def _pack(doc, pos, h) -> bytes:
-    """Marks or entries, sorted by document: size, then delta-coded planes."""
-    delta = np.diff(doc, prepend=0).view(np.uint64)
-    return len(doc).to_bytes(8, "little") + planes(delta) + planes(pos.astype(np.uint32)) + planes(h)
+def _pack_entries(doc, key, pos, h) -> bytes:
+    """Windows, sorted by document and key: these once each, then for each
+    window their place (delta-coded), position and hash, as byte planes."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    head = len(doc).to_bytes(8, "little") + len(first).to_bytes(8, "little")
+    return head + planes(np.diff(doc[first], prepend=0).view(np.uint64)) + planes(key[first]) + planes(new.astype(np.uint8)) + planes(pos.astype(np.uint32)) + planes(h)
 
 
-def _unpack(b: bytes, dtype):
-    n = int.from_bytes(b[:8], "little")
-    view = memoryview(b)[8:]
-    doc = np.cumsum(unplanes(view, np.uint64, n)).view(np.int64)
-    return doc, unplanes(view[8 * n :], np.uint32, n), unplanes(view[12 * n :], dtype, n)
+def _unpack_entries(b: bytes):
+    n, m = int.from_bytes(b[:8], "little"), int.from_bytes(b[8:16], "little")
+    view = memoryview(b)[16:]
+    doc, key = np.cumsum(unplanes(view, np.uint64, m)).view(np.int64), unplanes(view[8 * m :], np.int64, m)
+    view = view[16 * m :]
+    place = np.cumsum(unplanes(view, np.uint8, n), dtype=np.int64) - 1
+    return doc[place], key[place], unplanes(view[n:], np.uint32, n), unplanes(view[5 * n :], np.uint64, n)
 
 
-_OUT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+def _unpack_marks(b: bytes):
+    n = len(b) // 8
+    return unplanes(memoryview(b), np.uint32, n), unplanes(memoryview(b)[4 * n :], np.uint32, n)
 
 
-def _marks(doc, pos, h, shards: int):
-    """(shard, payload) of marked windows; a mark keeps 32 bits of the hash."""
-    if not len(doc):
-        return
-    shard = (spark_hash(doc) & np.uint64(shards - 1)).astype(np.uint32)
-    order = np.lexsort((pos, doc, shard))
-    doc, pos, h, shard = doc[order], pos[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), shard[order]
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(doc)], strict=True):
-        yield int(shard[lo]), _pack(doc[lo:hi], pos[lo:hi], h[lo:hi])
+_OUT = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("payload", pa.binary())])
+_OUT_SQL = "bucket int, key long, payload binary"
+
 
+def _rows(out: list):
+    for i in range(0, len(out), 256):
+        part = out[i : i + 256]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in part], pa.int32()), pa.array([k for _, k, _ in part], pa.int64()), pa.array([p for _, _, p in part], pa.binary())], schema=_OUT)
 
-def _reduce(window: int, nb: int, shards: int):
+
+def _marks(key, pos, h):
+    """(bucket -1, key, payload) of marked windows, once each; a mark keeps 32
+    bits of the hash."""
+    if not len(key):
+        return
+    h = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    order = np.lexsort((h, pos, key))
+    key, pos, h = key[order], pos[order].astype(np.uint32), h[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1]) | (h[1:] != h[:-1])
+    key, pos, h = key[new], pos[new], h[new]
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+        yield -1, int(key[lo]), planes(pos[lo:hi]) + planes(h[lo:hi])
+
+
+def _smaller(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the windows whose hash has a smaller document."""
+    order = np.argsort(h, kind="stable")
+    hs, ds = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = hs[1:] != hs[:-1]
+    starts = np.flatnonzero(new)
+    low = np.repeat(np.minimum.reduceat(ds, starts), np.diff(np.append(starts, len(h))))
+    return order[ds > low]
+
+
+def _reduce(window: int, nb: int):
     """Map side: hash all windows, keep each block's smallest document."""
     shift = np.uint64(64 - (nb - 1).bit_length())
 
-    def rows(h, doc, pos):
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = hs[1:] != hs[:-1]
-        starts = np.flatnonzero(new)
-        low = np.minimum.reduceat(doc[order], starts)
-        late = order[doc[order] > np.repeat(low, np.diff(np.append(starts, len(h))))]
-        for shard, payload in _marks(doc[late], pos[late], h[late], shards):
-            yield -1 - shard, payload
+    def rows(h, doc, key, pos):
+        late = _smaller(h, doc)
+        yield from _marks(key[late], pos[late], h[late])
         keep = np.ones(len(h), bool)
         keep[late] = False
         idx = np.flatnonzero(keep)
-        idx = idx[np.argsort(doc[idx], kind="stable")]
+        idx = idx[np.lexsort((key[idx], doc[idx]))]
         bucket = (h[idx] >> shift).astype(np.uint16 if nb <= 65536 else np.uint32)
         idx = idx[np.argsort(bucket, kind="stable")]
         bucket = (h[idx] >> shift).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(idx)], strict=True):
             at = idx[lo:hi]
-            yield int(bucket[lo]), _pack(doc[at], pos[at], h[at])
+            yield int(bucket[lo]), None, _pack_entries(doc[at], key[at], pos[at], h[at])
 
     def run(it):
         held, size = [], 0
-
-        def flush():
-            h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = list(rows(h, doc, pos)) if len(h) else []
-            for i in range(0, len(out), 256):
-                part = out[i : i + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([p for _, p in part], pa.binary())], schema=_OUT)
-
         for batch, buf, off in batches(it):
             h, d, pos = _windows(buf, off, window)
-            if len(h):
-                held.append((h, ids_of(batch, "doc_id")[d], pos.astype(np.uint32)))
-                size += len(h)
-            if size >= BLOCK_WINDOWS:
-                yield from flush()
-                held, size = [], 0
+            for lo in range(0, len(h), BLOCK_WINDOWS):  # a long text's windows are several blocks
+                part = slice(lo, lo + BLOCK_WINDOWS)
+                held.append((h[part], ids_of(batch, "doc_id")[d[part]], ids_of(batch, "key")[d[part]], pos[part].astype(np.uint32)))
+                size += len(held[-1][0])
+                if size >= BLOCK_WINDOWS:
+                    yield from _rows([*rows(*(np.concatenate(x) for x in zip(*held, strict=True)))])
+                    held, size = [], 0
         if held:
-            yield from flush()
+            yield from _rows([*rows(*(np.concatenate(x) for x in zip(*held, strict=True)))])
 
     return run
 
 
 def _grouped(it):
-    """(bucket, [payloads]) of batches that are sorted by bucket."""
-    key, held = None, []
+    """(bucket, [rows]) of batches that are sorted by bucket; marks made on the
+    map side (bucket -1) come batch by batch."""
+    at, held = None, []
     for batch in it:
-        keys = batch.column(0).to_numpy()
-        for k, p in zip(keys.tolist(), batch.column(1), strict=True):
-            if k != key:
+        for b, k, p in zip(batch.column(0).to_numpy().tolist(), batch.column(1), batch.column(2), strict=True):
+            if b != at or (b < 0 and len(held) >= 4096):
                 if held:
-                    yield key, held
-                key, held = k, []
-            held.append(p.as_py())
+                    yield at, held
+                at, held = b, []
+            held.append((k.as_py(), p.as_py()))
     if held:
-        yield key, held
+        yield at, held
 
 
-def _smallest(shards: int):
+def _smallest(it):
     """Bucket side: mark the entries whose hash has a smaller document."""
+    for bucket, held in _grouped(it):
+        if bucket < 0:
+            yield from _rows([(-1, k, p) for k, p in held])
+        else:
+            doc, key, pos, h = (np.concatenate(x) for x in zip(*(_unpack_entries(p) for _, p in held), strict=True))
+            late = _smaller(h, doc)
+            yield from _rows([*_marks(key[late], pos[late], h[late])])
 
-    def run(it):
-        for key, payloads in _grouped(it):
-            if key < 0:  # marks made on the map side pass through
-                out = [(-1 - key, p) for p in payloads]
-            else:
-                doc, pos, h = (np.concatenate(x) for x in zip(*(_unpack(p, np.uint64) for p in payloads), strict=True))
-                order = np.argsort(h, kind="stable")
-                hs, ds = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = hs[1:] != hs[:-1]
-                starts = np.flatnonzero(new)
-                low = np.repeat(np.minimum.reduceat(ds, starts), np.diff(np.append(starts, len(h))))
-                late = order[ds > low]
-                out = list(_marks(doc[late], pos[late], h[late], shards))
-            for i in range(0, len(out), 256):
-                part = out[i : i + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([p for _, p in part], pa.binary())], schema=_OUT)
 
-    return run
+def _key() -> Column:
+    """A hash of doc_id and text; null is not the empty text of another row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(bucket, payload): the marked windows of all documents, in shards."""
+    """(key, marks): the marked windows of all rows that have any, as
+    payloads of positions and hashes."""
     spark = docs.sparkSession
-    nb, shards = buckets_for(spark, 2), buckets_for(spark)
-    schema = "bucket int, payload binary"
-    found = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_reduce(window, nb, shards), schema)
-    return found.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_smallest(shards), schema)
-
-
-def _apply(window: int, names: list[str], schema: pa.Schema):
-    """Joins a shard's documents with its marks; names: output columns."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks: dict[int, list] = {}
-        if right.num_rows:
-            doc, pos, h = (np.concatenate(x) for x in zip(*(_unpack(p.as_py(), np.uint32) for p in right.column("payload")), strict=True))
-            order = np.argsort(doc, kind="stable")
-            doc, pos, h = doc[order], pos[order], h[order]
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(doc)], strict=True):
-                marks[int(doc[lo])] = (pos[lo:hi], h[lo:hi])
-        ids = ids_of(left.select(["doc_id"]).combine_chunks().to_batches()[0], "doc_id") if left.num_rows else []
-        buf, off = utf8(left.column("text"))
-        data, text_null = buf.tobytes(), left.column("text").is_null().to_pylist()
-        n_words, n_removed, kept_text, digests, intervals = [], [], [], [], []
-        for i in range(left.num_rows):
-            raw = data[off[i] : off[i + 1]]
-            ws, got, spans = raw.split(), marks.get(int(ids[i])), []
-            gone = np.zeros(len(ws), bool)
-            if got is not None and len(ws) >= window:
-                own = (_windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window)[0] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                pos, h = got
-                inside = pos < len(own)
-                pos = pos[inside].astype(np.int64)
-                pos = pos[own[pos] == h[inside]]
-                edge = np.zeros(len(ws) + 1, np.int64)
-                np.add.at(edge, pos, 1)
-                np.add.at(edge, pos + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                change = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                spans = change.reshape(-1, 2).tolist()
-            cut = int(gone.sum())
-            kept = b" ".join(compress(ws, (~gone).tolist())) if cut else b" ".join(ws)
-            n_words.append(len(ws))
-            n_removed.append(cut)
-            digests.append(hashlib.sha256(kept).hexdigest())
-            intervals.append(spans)
-            kept_text.append((None if text_null[i] else raw.decode()) if not cut else kept.decode())
-        made = {"n_words": n_words, "n_removed": n_removed, "kept_sha256": digests, "kept_text": kept_text, "removed": intervals}
-        return pa.Table.from_arrays([pa.array(made[n[2:]], t.type) if n.startswith("__") else left.column(n).cast(t.type) for n, t in zip(names, schema, strict=True)], schema=schema)
+    nb = buckets_for(spark, 2)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
+    found = small_batches(base).mapInArrow(_reduce(window, nb), _OUT_SQL)
+    # marks made on the map side stay out of the buckets' shuffle key
+    dealt = found.repartition(partitions(spark), F.when(F.col("bucket") < 0, F.col("key")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    made = dealt.mapInArrow(_smallest, _OUT_SQL)
+    return made.groupBy("key").agg(F.collect_set("payload").alias("marks"))
 
-    return run
 
+def _places(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    a, b = mix64(key.view(np.uint64)), mix64(key.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return [((a + np.uint64(k) * b) & np.uint64(bits - 1)).astype(np.int64) for k in range(PROBES)]
 
-def _arrow_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(df.schema)
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of the distinct keys.  Its words are
+    made by an aggregate, and at most `FILTER_BITS` / 64 of them are read."""
+    n = keys.count()
+    bits = min(FILTER_BITS, 1 << max(12, (KEY_BITS * n).bit_length()))
+
+    def run(it):
+        for batch in it:
+            at = np.concatenate(_places(batch.column(0).to_numpy(), bits))
+            word, where = np.unique(at >> 6, return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, where, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
+
+    got = keys.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def _cut_out(raw: bytes, marks: list[bytes], window: int) -> tuple[list[bytes], np.ndarray]:
+    """Words of a text, and which of them marked windows cover."""
+    ws = raw.split()
+    gone = np.zeros(len(ws), bool)
+    if marks and len(ws) >= window:
+        pos, h = (np.concatenate(x) for x in zip(*(_unpack_marks(m) for m in marks), strict=True))
+        own = (_windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window)[0] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        inside = pos < len(own)
+        pos = pos[inside].astype(np.int64)
+        pos = np.unique(pos[own[pos] == h[inside]])
+        edge = np.zeros(len(ws) + 1, np.int64)
+        edge[pos] += 1
+        edge[pos + window] -= 1
+        gone = np.cumsum(edge[:-1]) > 0
+    return ws, gone
+
+
+def _kept(ws: list[bytes], gone: np.ndarray) -> bytes:
+    return b" ".join(compress(ws, (~gone).tolist())) if gone.any() else b" ".join(ws)
+
+
+def _parted(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, str]:
+    """(rows that surely have no marks, other rows with their marks, the name
+    of the marks' column, which is last)."""
+    spark = docs.sparkSession
+    key, marks = unused(docs, "key", "marks")
+    found = checkpoint(removed_windows(docs, window))
+    shared = spark.sparkContext.broadcast(key_filter(found.select("key")))
+
+    @arrow_udf("boolean")
+    def may_have_marks(keys: pa.Array) -> pa.Array:
+        words_, at = shared.value, _places(keys.to_numpy(zero_copy_only=False), len(shared.value) << 6)
+        out = np.ones(len(keys), bool)
+        for a in at:
+            out &= (words_[a >> 6] >> (a & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pa.array(out)
+
+    keyed = docs.withColumn(key, _key())
+    there = may_have_marks(F.col(key))
+    met = keyed.where(there).join(found.withColumnsRenamed({"key": key, "marks": marks}), key, "left")
+    return keyed.where(~there).drop(key), met.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(marks)), marks
 
 
-def _joined(docs: DataFrame, window: int, extra: list[tuple[str, str]]) -> DataFrame:
-    """docs with the columns of `extra` (name, type) made from the marks."""
-    marks = removed_windows(docs, window)
-    shards = buckets_for(docs.sparkSession)
-    names = [*docs.columns, *(f"__{n}" for n, _ in extra)]
-    out = docs.limit(0).select("*", *(F.lit(None).cast(t).alias(f"__{n}") for n, t in extra))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max))
-    keyed = docs.withColumn("__shard", F.xxhash64(order).bitwiseAND(F.lit(shards - 1)).cast("int"))
-    return keyed.groupBy("__shard").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(window, names, _arrow_schema(out)), out.schema)
+def _marked(batch: pa.RecordBatch) -> list[list[bytes]]:
+    return [m or [] for m in batch.column(batch.num_columns - 1).to_pylist()]
+
+
+_REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<array<long>>"
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text and the removed word
     intervals [start, end) of every document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    extra = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string"), ("removed", "array<array<long>>")]
-    out = _joined(base, window, extra)
-    return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n, _ in extra))
+
+    def run(it):
+        for batch, buf, off in batches(it):
+            data, null, marks = buf.tobytes(), batch.column(1).is_null().to_pylist(), _marked(batch) if batch.num_columns > 2 else [[]] * batch.num_rows
+            n_words, n_removed, digests, kept_text, removed = [], [], [], [], []
+            for i in range(batch.num_rows):
+                raw = data[off[i] : off[i + 1]]
+                ws, gone = _cut_out(raw, marks[i], window)
+                kept, cut = _kept(ws, gone), int(gone.sum())
+                n_words.append(len(ws))
+                n_removed.append(cut)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                kept_text.append((None if null[i] else raw.decode()) if not cut else kept.decode())
+                removed.append(np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2).tolist() if cut else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (n_words, n_removed)), pa.array(digests, pa.string()), pa.array(kept_text, pa.string()), pa.array(removed, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed"])
+
+    clean, met, _ = _parted(base, window)
+    return small_batches(clean).mapInArrow(run, _REMOVED).unionByName(met.mapInArrow(run, _REMOVED))
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the kept words, joined by one space, as text; a text that
     loses nothing stays as it is."""
-    out = _joined(docs, window, [("kept_text", "string")])
-    return out.select(*(F.col("__kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    clean, met, marks = _parted(docs, window)
+
+    @arrow_udf("string")
+    def kept(text: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for t, m in zip(text, found.to_pylist(), strict=True):
+            t = t.as_py()
+            ws, gone = _cut_out((t or "").encode(), m or [], window)
+            out.append(_kept(ws, gone).decode() if gone.any() else t)
+        return pa.array(out, pa.string())
+
+    cut = met.select(*(kept(F.col("text").cast("string"), F.col(marks)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return clean.unionByName(cut) if len(set(docs.columns)) == len(docs.columns) else clean.union(cut)
 
 
 def op6_substring(spark, sf_dir):

@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after the other by logistic regressions on
-the presence of words; each regression also gets the log odds of the earlier
-categories.  While fitting, those are predictions out of fold: for each of
+the presence of words; each regression also gets the probabilities of the
+earlier categories.  While fitting, those are predictions out of fold: for each of
 `FOLDS` parts of the sample they come from a model, feature choice included,
 that has not seen the part.  While scoring, models of the whole sample give
 them.  A category's threshold is the one with the best F1 out of fold, among
@@ -17,9 +17,13 @@ executors.  Every document is scored over its whole text.
 
 Defined results: null and empty texts have no words and get what the constant
 and the earlier categories say; a null label isn't learnt from; without both
-classes a category has probability 0 or 1, as all labels say, or 0; of rows
+classes a category has probability 0 or 1, as all labels say, or 0; without
+documents there are no rows, without labels all probabilities are 0; of rows
 that repeat a doc_id one is learnt from and all are scored, and of labels that
-repeat one the largest counts; a null doc_id is scored.
+repeat one the largest counts; a null doc_id is scored; words whose difference
+ties go by their hash; other columns, whatever their names, are kept by
+`drop_toxic` and left out by `classify`.  A text of any length is hashed in
+steps; a sampled text sends its distinct words to the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import _LOWER, batches, mix64, powers, small_batches
+from textmesh.llm.common import _LOWER, batches, mix64, run_hashes, runs, small_batches
 
 #: (name, condition over the columns of labels) in the chain's order.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
@@ -53,18 +57,8 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 def letter_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every run of letters."""
-    if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = _LETTER[buf]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edges = off[:-1][off[:-1] < len(buf)]
-    first[edges] = inside[edges]
-    start = np.flatnonzero(first)
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.add.reduceat(_VALUE[buf] * powers(_BASE, len(buf)), start) * powers(_INV, len(buf))[start]
-    return np.searchsorted(off, start, side="right") - 1, mix64(h)
+    start, end, doc = runs(_LETTER[buf], off)
+    return doc, mix64(run_hashes(_VALUE, buf, start, end, _BASE, _INV))
 
 
 def _sigmoid(x):
@@ -72,7 +66,7 @@ def _sigmoid(x):
 
 
 class Regression:
-    """Ridge logistic regression on chosen words and earlier log odds."""
+    """Ridge logistic regression on chosen words and earlier probabilities."""
 
     def __init__(self, words: np.ndarray, weights: np.ndarray, extra: np.ndarray, constant: float):
         self.words, self.weights, self.extra, self.constant = words, weights, extra, constant
@@ -141,7 +135,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION)
 
 def fit_chain(sizes: np.ndarray, h: np.ndarray, labels: np.ndarray, folds: np.ndarray, n_folds: int = FOLDS):
     """sizes: words of each document in h; labels: (documents, categories).
-    Returns the regressions, thresholds and out-of-fold log odds."""
+    Returns the regressions, thresholds and out-of-fold probabilities."""
     n = len(sizes)
     doc = np.repeat(np.arange(n), sizes)
     earlier = np.zeros((n, 0))
@@ -158,7 +152,7 @@ def fit_chain(sizes: np.ndarray, h: np.ndarray, labels: np.ndarray, folds: np.nd
             out[test] = m.logit(int(test.sum()), rank_t[doc[~mine]], h[~mine], earlier[test])
         models.append(fit(n, doc, h, earlier, y))
         cuts.append(_best_threshold(_sigmoid(out), y))
-        earlier = np.column_stack((earlier, np.clip(out, -30, 30)))
+        earlier = np.column_stack((earlier, _sigmoid(out)))
     return models, cuts, earlier
 
 
@@ -193,40 +187,43 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     return models, cuts
 
 
-def _predict(chain, categories, keep: list[str]):
+def _probabilities(models, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each text of a batch, by category."""
+    doc, h = letter_words(buf, off)
+    p = np.zeros((len(off) - 1, 0))
+    for m in models:
+        p = np.column_stack((p, _sigmoid(m.logit(len(off) - 1, doc, h, p))))
+    return p
+
+
+def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE, train_docs: DataFrame | None = None) -> DataFrame:
+    """doc_id and, for each category, p_<name> and is_<name> of every row;
+    train_docs: the labelled documents, if they aren't among docs."""
+    chain = docs.sparkSession.sparkContext.broadcast(train(docs if train_docs is None else train_docs, labels, categories, sample))
+    names = [f"{x}_{n}" for n, _ in categories for x in ("p", "is")]
+
     def run(it):
         models, cuts = chain.value
         for batch, buf, off in batches(it):
-            doc, h = letter_words(buf, off)
-            earlier = np.zeros((len(off) - 1, 0))
-            for m in models:
-                logit = np.clip(m.logit(len(off) - 1, doc, h, earlier), -30, 30)
-                earlier = np.column_stack((earlier, logit))
-            p = _sigmoid(earlier)
-            cols = [batch.column(batch.schema.get_field_index(c)) if batch.schema.names.count(c) == 1 else batch.column(i) for i, c in enumerate(keep)]
-            for k in range(len(categories)):
-                cols += [pa.array(np.round(p[:, k], 6)), pa.array(p[:, k] >= cuts[k])]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(x for n, _ in categories for x in (f"__p_{n}", f"__is_{n}"))])
-
-    return run
-
+            p = _probabilities(models, buf, off)
+            made = [x for k in range(len(cuts)) for x in (pa.array(np.round(p[:, k], 6)), pa.array(p[:, k] >= cuts[k]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
 
-def classify(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> DataFrame:
-    """doc_id and, for each category, p_<name> and is_<name> of every row."""
-    out = _classified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, categories, sample)
-    return out.select("doc_id", *(F.col(f"__{x}_{n}").alias(f"{x}_{n}") for n, _ in categories for x in ("p", "is")))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(base).mapInArrow(run, "doc_id long, " + ", ".join(f"`{n}` {'double' if n.startswith('p_') else 'boolean'}" for n in names))
 
 
-def _classified(docs: DataFrame, labels: DataFrame, categories, sample: int) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", categories=CATEGORIES, sample: int = SAMPLE) -> DataFrame:
+    """docs without the rows of the category; all columns are kept as they are."""
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, sample))
-    made = [(f"__p_{n}", "double") for n, _ in categories], [(f"__is_{n}", "boolean") for n, _ in categories]
-    schema = docs.limit(0).select("*", *(F.lit(None).cast(t).alias(c) for pair in zip(*made, strict=True) for c, t in pair)).schema
-    return small_batches(docs).mapInArrow(_predict(chain, categories, docs.columns), schema)
+    k = [n for n, _ in categories].index(category)
 
+    def run(it):
+        models, cuts = chain.value
+        for batch, buf, off in batches(it):
+            yield batch.filter(pa.array(_probabilities(models, buf, off)[:, k] < cuts[k]))
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", categories=CATEGORIES, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows of the category."""
-    return _classified(docs, labels, categories, sample).where(~F.col(f"__is_{category}")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark, sf_dir):
