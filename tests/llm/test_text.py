@@ -321,30 +321,72 @@ def test_decontamination(spark):
     assert decontam.find(df.limit(0), bench).collect() == [] and not any(r.contaminated for r in decontam.find(df, bench.limit(0)).collect())
 
 
-def test_pruned_search_retrieves_all():
-    """The opened blocks give the items that a full BM25 scan gives."""
-    items = [(k, text(random.Random(k).randint(3, 40), 500 + k)) for k in range(60)]
-    index = decontam.Index(items, threshold=0.3)
-    docs = [text(500, 700 + k) + " " + items[k][1] for k in range(10)]
+def plain_bm25(items, docs, threshold):
+    """All passages and items at the threshold, by counting words."""
+    from math import log
+
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    bags = {i: Counter(split(t)) for i, t in items}
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    mean = sum(size.values()) / len(size)
+    df = Counter(w for b in bags.values() for w in b)
+    weight = {i: {w: log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size[i] / mean)) for w, n in b.items()} for i, b in bags.items()}
+    out = {}
+    longest = {}
+    for n in size.values():
+        c = (n - 1).bit_length()
+        longest[c] = max(longest.get(c, 0), n)
+    at = 0
+    for k, d in enumerate(docs):
+        ws = split(d)
+        for c, seg in longest.items():
+            for a in range(0, len(ws), seg):
+                own = set(ws[a : a + 2 * seg])
+                for i in bags:
+                    if (size[i] - 1).bit_length() == c:
+                        s = sum(v for w, v in weight[i].items() if w in own) / sum(weight[i].values())
+                        if s >= threshold - 1e-9:
+                            out[k, i, at + a] = s
+        at += len(ws)
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "step"), [(0.3, 1 << 21), (0.5, 300), (0.9, 1), (0.15, 5000)])
+def test_pruned_search_retrieves_all(monkeypatch, threshold, step):
+    """The opened blocks give the items that a full BM25 scan gives, and are few."""
+    monkeypatch.setattr(decontam, "STEP", step)
+    items = [(k, text(random.Random(k).choice([1, 2, 3, 7, 8, 9, 20, 40, 41]), 500 + k)) for k in range(120)]
+    index = decontam.Index(items, threshold=threshold)
+    docs = [text(500, 700 + k) + " " + items[k][1] for k in range(12)] + ["", "x", items[5][1]]
     raw = [d.encode() for d in docs]
     off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     doc, h = decontam.terms(np.frombuffer(b"".join(raw), np.uint8), off)
     got = {(int(d), int(index.ids[i]), int(a)): float(s) for d, i, s, a, _ in zip(*index.search(doc, h, len(docs)), strict=True)}
-    want = {}
-    first = np.searchsorted(doc, np.arange(len(docs) + 1))
-    for d in range(len(docs)):
-        for a in range(first[d], first[d + 1], index.segment):
-            own = set(h[a : min(a + 2 * index.segment, first[d + 1])].tolist())
-            score = np.zeros(len(index.ids))
-            for k, t in enumerate(index.terms.tolist()):
-                if t in own:
-                    at = slice(index.start[k], index.start[k + 1])
-                    score[index.item[at]] += index.impact[at]
-            for i in np.flatnonzero(score >= 0.3 - 1e-9):
-                want[d, int(index.ids[i]), int(a)] = score[i]
+    want = plain_bm25(items, docs, threshold)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_blocks_are_skipped():
+    r = random.Random(9)
+    words_ = [f"w{k}" for k in range(20_000)]
+    items = [(k, " ".join(r.choice(words_) for _ in range(r.randint(15, 40)))) for k in range(2000)]
+    docs = [" ".join(r.choice(words_) for _ in range(400)) + " " + items[k][1] for k in range(20)]
+    index, raw = decontam.Index(items), [d.encode() for d in docs]
+    doc, h = decontam.terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+    found = index.search(doc, h, len(docs))
+    assert {(int(d), int(index.ids[i])) for d, i in zip(found[0], found[1], strict=True)} >= {(k, k) for k in range(20)}
+    assert index.scored[0] < 0.01 * len(items) * len(h) / 40
+
+
+def test_too_many_items_are_refused(spark, monkeypatch):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for name in ("MAX_ITEMS", "MAX_BYTES"):
+        monkeypatch.setattr(decontam, name, 3)
+        with pytest.raises(ValueError, match="in parts"):
+            decontam.build(bench)
+        monkeypatch.setattr(decontam, name, 1000)
+
+
 # 8 and 1: classifiers
 
 

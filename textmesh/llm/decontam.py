@@ -2,28 +2,35 @@
 
 The inverted index holds, for each term, its impact on each item: the item's
 BM25 weight of the term divided by the item's score for itself, so that one
-threshold serves all items.  Items are dealt into blocks, and each term keeps
-its largest impact in every block.
-
-Every document is cut into segments of as many words as the longest item has;
-a passage is two neighbouring segments, so each run of that many words lies in
-one.  Every passage is a query.  As in block-max WAND, a block is opened for a
-passage only if the block maxima of its terms add up to the threshold; that
-test is made for a whole batch at once, first with the sum over both segments
-and then with the passage's distinct terms.  All items of the opened blocks
-that reach the threshold are retrieved, none is cut off.
+threshold serves all items.  Items are put in classes by length, which double
+from one to the next, and inside a class they are dealt into blocks; each term
+keeps its largest impact in every block.
+
+For each class every document is cut into segments of as many words as the
+class's longest item has; a passage is two neighbouring segments, so each run
+of that many words lies in one.  Every passage is a query.  It is skipped if
+its terms' largest impacts don't add up to the threshold.  As in WAND, only
+an item's essential terms, its rarest, lead to it: those without which the
+others stay under `REST`.  A block is opened for a passage only if the block
+maxima of the passage's essential terms, and `REST`, reach the threshold.  All
+items of the opened blocks are scored over all terms, and all that reach the
+threshold are retrieved, none is cut off.  These tests are made for a whole
+batch at once, over the postings that the passages' terms have.
 
 A retrieved item is verified: at least `OVERLAP` of the five-word shingles of
 its question (its first line), and of its answer (the other lines, if any),
 must be in the passage.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, lower-cased.
-The index is broadcast; it is bounded by `MAX_ITEMS`, which is checked.
+The index is broadcast; it is bounded by `MAX_ITEMS` and `MAX_BYTES`, which are
+checked before the items are read.
 
 Defined results: null text and text without words match nothing; items without
-words match nothing; a part with fewer than five words is one shingle; items of
-equal text are all reported; repeated documents are each judged; without items
-all documents are clean.
+words or id match nothing; a part with fewer than five words is one shingle;
+items of equal text are all reported; repeated documents are each judged;
+without items all documents are clean; an empty table gives an empty one; other
+columns, whatever their names, are kept by `drop_contaminated`.  A text of any
+length is searched in steps; its words' hashes are held together.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import _LOWER, batches, mix64, powers, small_batches
+from textmesh.llm.common import _LOWER, batches, mix64, run_hashes, runs, small_batches
 from textmesh.llm.substring import window_hashes
 
 K1, B = 1.2, 0.75
@@ -42,7 +49,11 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 8
-MAX_ITEMS = 100_000
+#: Impact that an item's terms outside its essential ones stay under.
+REST = 0.2
+MAX_ITEMS, MAX_BYTES = 100_000, 64 << 20
+#: Postings, or cells of a table of passages and blocks, that a step takes.
+STEP = 1 << 21
 
 _IN = np.zeros(256, bool)
 _IN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -53,19 +64,8 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every word, in order."""
-    z = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if not len(buf):
-        return z
-    inside = _IN[buf]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edges = off[:-1][off[:-1] < len(buf)]
-    first[edges] = inside[edges]
-    start = np.flatnonzero(first)
-    if not len(start):
-        return z
-    h = np.add.reduceat(_VALUE[buf] * powers(_BASE, len(buf)), start) * powers(_INV, len(buf))[start]
-    return np.searchsorted(off, start, side="right") - 1, mix64(h)
+    start, end, doc = runs(_IN[buf], off)
+    return doc, mix64(run_hashes(_VALUE, buf, start, end, _BASE, _INV))
 
 
 def _one(text: str) -> np.ndarray:
@@ -79,6 +79,109 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(h, min(size, len(h))))
 
 
+def _slices(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the slices start[x]:start[x + 1] for x in of, and which of
+    them each is of."""
+    n = start[of + 1] - start[of]
+    which = np.repeat(np.arange(len(of)), n)
+    return np.repeat(start[of] - (np.cumsum(n) - n), n) + np.arange(n.sum()), which
+
+
+class Class:
+    """Items of one class of length.  term, item, weight: impacts, by item;
+    rarity: of each term, its items in the whole index; first: the class's
+    first item; terms: the size of the vocabulary."""
+
+    def __init__(self, term, item, weight, rarity, first: int, items: int, segment: int, block: int, terms: int, threshold: float):
+        self.first, self.segment, self.block, self.items, self.threshold = first, segment, block, items, threshold
+        self.known, local = np.unique(term, return_inverse=True)
+        self.of = np.full(terms, -1, np.int32)
+        self.of[self.known] = np.arange(len(self.known))
+        item = item - first
+        # what each item has: by item, the rarest terms first
+        order = np.lexsort((local, rarity[term], item))
+        self.term, item, self.weight = local[order], item[order], weight[order]
+        self.start = np.searchsorted(item, np.arange(items + 1))
+        upto = np.cumsum(self.weight)
+        before = upto - self.weight - np.concatenate(([0.0], upto))[self.start][item]
+        essential = 1 - before >= min(REST, threshold / 2)
+        self.top = np.zeros(len(self.known))
+        np.maximum.at(self.top, self.term, self.weight)
+        # what the essential terms lead to: by term, blocks and their maxima
+        self.blocks = -(-items // block)
+        cell, where = np.unique(self.term[essential] * self.blocks + item[essential] // block, return_inverse=True)
+        self.maximum = np.zeros(len(cell))
+        np.maximum.at(self.maximum, where, self.weight[essential])
+        self.leads = cell % self.blocks
+        self.leads_at = np.searchsorted(cell // self.blocks, np.arange(len(self.known) + 1))
+
+    def search(self, doc: np.ndarray, first: np.ndarray, at: np.ndarray, term: np.ndarray, seen: list):
+        """(document, item, impact, first word, end word) of all passages and
+        items at the threshold; words at have terms of the index, first: the
+        first word of each document.  seen: counts the items scored."""
+        local = self.of[term]
+        hit = np.flatnonzero(local >= 0)
+        at, local, size = at[hit], local[hit].astype(np.int64), self.segment
+        if not len(at):
+            return
+        n_seg = -(-np.diff(first) // size)
+        seg_at = np.concatenate(([0], np.cumsum(n_seg)))
+        d = doc[at]
+        seg = seg_at[d] + (at - first[d]) // size
+        # a segment's terms belong to its passage and to the one before
+        v = len(self.known)
+        own = np.unique(seg * v + local)
+        s = own // v
+        pair = np.union1d(own, own[s > seg_at[np.searchsorted(seg_at, s, side="right") - 1]] - v)
+        p, t = pair // v, pair % v
+        begin = np.flatnonzero(np.diff(p, prepend=-1))
+        enough = np.add.reduceat(self.top[t], begin) >= self.threshold - 1e-6
+        keep = np.repeat(enough, np.diff(np.append(begin, len(p))))
+        p, t = p[keep], t[keep]
+        if not len(p):
+            return
+        names, p = np.unique(p, return_inverse=True)
+        # passages in steps of bounded numbers of postings and cells
+        work = np.cumsum(np.bincount(p, self.leads_at[t + 1] - self.leads_at[t], minlength=len(names)))
+        lo = 0
+        while lo < len(names):
+            hi = int(np.searchsorted(work, (work[lo - 1] if lo else 0) + STEP, side="right"))
+            hi = min(max(hi, lo + 1), lo + max(1, STEP // self.blocks))
+            a, b = np.searchsorted(p, (lo, hi))
+            yield from self._open(names[lo:hi], p[a:b] - lo, t[a:b], first, seg_at, seen)
+            lo = hi
+
+    def _open(self, names, p, t, first, seg_at, seen):
+        place, which = _slices(self.leads_at, t)
+        cell = p[which] * self.blocks + self.leads[place]
+        least = self.threshold - min(REST, self.threshold / 2) - 1e-6
+        cells = len(names) * self.blocks
+        if 8 * len(cell) > cells:
+            opened = np.flatnonzero(np.bincount(cell, self.maximum[place], minlength=cells) >= least)
+        else:
+            cell, where = np.unique(cell, return_inverse=True)
+            opened = cell[np.bincount(where, self.maximum[place], minlength=len(cell)) >= least]
+        if not len(opened):
+            return
+        v, key = len(self.known), p * len(self.known) + t
+        for lo in range(0, len(opened), 1 << 14):
+            part = opened[lo : lo + (1 << 14)]
+            g = np.repeat(part // self.blocks, self.block)
+            item = (np.repeat(part % self.blocks * self.block, self.block).reshape(-1, self.block) + np.arange(self.block)).ravel()
+            g, item = g[item < self.items], item[item < self.items]
+            seen[0] += len(item)
+            place, which = _slices(self.start, item)
+            wanted = g[which] * v + self.term[place]
+            found = key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted
+            score = np.bincount(which, np.where(found, self.weight[place], 0.0), minlength=len(item))
+            good = np.flatnonzero(score >= self.threshold - 1e-9)
+            if len(good):
+                name = names[g[good]]
+                d = np.searchsorted(seg_at, name, side="right") - 1
+                begin = first[d] + (name - seg_at[d]) * self.segment
+                yield d, item[good] + self.first, score[good], begin, np.minimum(begin + 2 * self.segment, first[d + 1])
+
+
 class Index:
     """Impacts of the items' terms, and what verification needs."""
 
@@ -86,28 +189,24 @@ class Index:
         items = [(i, t, w) for i, t in items if len(w := _one(t or ""))]
         items.sort(key=lambda x: (len(x[2]), x[0]))
         self.ids = np.array([i for i, _, _ in items], np.int64)
-        self.threshold = threshold
+        self.threshold, self.scored = threshold, [0]
         lengths = np.array([len(w) for _, _, w in items], np.int64)
-        self.segment = int(lengths.max(initial=1))
+        n = max(1, len(items))
         item = np.repeat(np.arange(len(items)), lengths)
         self.terms, at = np.unique(np.concatenate([w for *_, w in items]) if items else np.zeros(0, np.uint64), return_inverse=True)
-        pair, tf = np.unique(at * max(1, len(items)) + item, return_counts=True)
-        term, item = pair // max(1, len(items)), pair % max(1, len(items))
+        pair, tf = np.unique(item * max(1, len(self.terms)) + at, return_counts=True)
+        item, term = pair // max(1, len(self.terms)), pair % max(1, len(self.terms))
         df = np.bincount(term, minlength=len(self.terms))
         idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean() if items else 1, 1))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[item])
-        weight /= np.bincount(item, weight, minlength=len(items))[item]
-        # postings: term's slice of (item, impact)
-        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        self.item, self.impact = item, weight
-        self.blocks = -(-len(items) // block)
-        self.block = block
-        cell, where = np.unique(term * max(1, self.blocks) + item // block, return_inverse=True)
-        top = np.zeros(len(cell))
-        np.maximum.at(top, where, weight)
-        self.top_term, self.top_block, self.top = cell // max(1, self.blocks), cell % max(1, self.blocks), top
-        self.top_start = np.searchsorted(self.top_term, np.arange(len(self.terms) + 1))
+        weight /= np.bincount(item, weight, minlength=n)[item]
+        self.classes, lo = [], 0
+        while lo < len(items):
+            hi = int(np.searchsorted(lengths, 1 << int(lengths[lo] - 1).bit_length(), side="right"))
+            a, b = np.searchsorted(item, (lo, hi))
+            self.classes.append(Class(term[a:b], item[a:b], weight[a:b], df, lo, hi - lo, int(lengths[hi - 1]), block, len(self.terms), threshold))
+            lo = hi
         self.sieve = np.zeros(1 << 18, bool)
         self.sieve[(self.terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
         parts = [((t or "").strip().split("\n", 1) + [""])[:2] for _, t, _ in items]
@@ -115,12 +214,6 @@ class Index:
         self.answer = [shingles(_one(a)) for _, a in parts]
         self.sizes = [(min(SHINGLE, max(1, len(_one(q)))), min(SHINGLE, max(1, len(_one(a))))) for q, a in parts]
 
-    def _expand(self, start: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the postings of terms t, and which of t each is of."""
-        n = start[t + 1] - start[t]
-        which = np.repeat(np.arange(len(t)), n)
-        return np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum()), which
-
     def search(self, doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, impact, first word, end word) of all passages and
         items at the threshold or above; words count over the whole batch."""
@@ -128,67 +221,12 @@ class Index:
         if not len(h) or not len(self.terms):
             return none
         first = np.searchsorted(doc, np.arange(n_docs + 1))
-        n_seg = -(-np.diff(first) // self.segment)
-        seg_at = np.concatenate(([0], np.cumsum(n_seg)))
-        seg = seg_at[doc] + (np.arange(len(doc)) - first[doc]) // self.segment
         hit = np.flatnonzero(self.sieve[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.terms, h[hit]), len(self.terms) - 1)
         ok = self.terms[at] == h[hit]
         hit, at = hit[ok], at[ok]
-        pair = np.unique(seg[hit] * len(self.terms) + at)  # distinct terms of each segment
-        s, t = pair // len(self.terms), pair % len(self.terms)
-        total = int(seg_at[-1])
-        # upper bounds of a segment for each block, then of both segments of a passage
-        bound = np.zeros(total * self.blocks, np.float32) if total * self.blocks <= 1 << 25 else None
-        out = []
-        step = total if bound is not None else max(1, (1 << 25) // self.blocks)
-        for lo in range(0, total, step):
-            hi = min(total, lo + step)
-            a, b = np.searchsorted(s, (lo, min(hi + 1, total)))
-            size = (min(hi + 1, total) - lo) * self.blocks
-            place, which = self._expand(self.top_start, t[a:b])
-            cell = (s[a:b][which] - lo) * self.blocks + self.top_block[place]
-            ub = np.bincount(cell, self.top[place], minlength=size).reshape(-1, self.blocks)
-            pair_ub = ub[: hi - lo].copy()
-            more = min(hi - lo, len(ub) - 1)
-            pair_ub[:more] += ub[1 : more + 1]
-            g, block = np.nonzero(pair_ub >= self.threshold - 1e-6)
-            out.append((g + lo, block))
-        g, block = (np.concatenate(x) for x in zip(*out, strict=True))
-        if not len(g):
-            return none
-        d = np.searchsorted(seg_at, g, side="right") - 1
-        begin = first[d] + (g - seg_at[d]) * self.segment
-        end = np.minimum(begin + 2 * self.segment, first[d + 1])
-        # distinct terms of each candidate passage
-        passage, inverse = np.unique(g, return_inverse=True)
-        p_begin, p_end = np.zeros(len(passage), np.int64), np.zeros(len(passage), np.int64)
-        p_begin[inverse], p_end[inverse] = begin, end
-        found = []
-        for lo in range(0, len(passage), 2048):
-            part = slice(lo, lo + 2048)
-            a, b = np.searchsorted(hit, p_begin[part]), np.searchsorted(hit, p_end[part])
-            n = b - a
-            which = np.repeat(np.arange(len(n)), n)
-            own = np.unique(which * len(self.terms) + at[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-            p, t2 = own // len(self.terms), own % len(self.terms)
-            opened = np.zeros((len(n), self.blocks), bool)
-            mine = (inverse >= lo) & (inverse < lo + 2048)
-            opened[inverse[mine] - lo, block[mine]] = True
-            place, which = self._expand(self.top_start, t2)
-            cell = p[which] * self.blocks + self.top_block[place]
-            ub = np.bincount(cell, self.top[place], minlength=opened.size).reshape(opened.shape)
-            opened &= ub >= self.threshold - 1e-6
-            place, which = self._expand(self.start, t2)
-            i = self.item[place]
-            use = opened[p[which], i // self.block]
-            cell = p[which][use] * len(self.ids) + i[use]
-            cells, where = np.unique(cell, return_inverse=True)
-            score = np.bincount(where, self.impact[place][use], minlength=len(cells))
-            good = score >= self.threshold - 1e-9
-            pp = cells[good] // len(self.ids) + lo
-            found.append((doc[p_begin[pp]], cells[good] % len(self.ids), score[good], p_begin[pp], p_end[pp]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        out = [none, *(x for c in self.classes for x in c.search(doc, first, hit, at, self.scored))]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def verified(self, h: np.ndarray, item: int, overlap: float) -> bool:
         """Question and answer are in the words h of a passage."""
@@ -199,10 +237,11 @@ class Index:
 
 
 def build(benchmark: DataFrame, threshold: float = THRESHOLD) -> Index:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: give them in parts")
-    return Index([(r.item_id, r.text) for r in rows], threshold)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n > MAX_ITEMS or size > MAX_BYTES:
+        raise ValueError(f"{n} items of {size} bytes are more than {MAX_ITEMS} or {MAX_BYTES}: give them in parts")
+    return Index([(r.item_id, r.text) for r in items.collect()], threshold)
 
 
 def _matches(index: Index, buf: np.ndarray, off: np.ndarray, overlap: float):

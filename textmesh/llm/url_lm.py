@@ -13,9 +13,11 @@ table, and the join back to the URLs is one that adaptive execution can split.
 
 Defined results: a null URL, and one without `://`, has empty host and path
 and no rule, and is scored like the text it is (null: the empty text); rows
-that repeat are judged alike; if either class has no URLs to learn or to
-calibrate from, the threshold is 0 and unlabelled URLs are allowed at 0 or
-more.  Only page_id and url are read, so other columns can't clash.
+that repeat are judged alike; a URL of any length is scored over all its
+characters, which travel with a number, not with the URL; of thresholds that
+tie the lowest counts; if either class has no URLs to learn or to calibrate
+from, the threshold is 0 and unlabelled URLs are allowed at 0 or more; no pages
+give no rows.  Only page_id and url are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -67,28 +69,27 @@ def _grams(text: Column, order: int) -> Column:
 
 def ratio_table(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, ratio) for each row (gram, accepted, rejected): the difference of
-    the log probabilities of its last character after the others."""
-    t = grams
+    the log probabilities of its last character after the others.
+
+    The counts of shorter grams are sums over the longer ones' first
+    characters.  Each order's probabilities are a table of its distinct grams,
+    made of two joins, and kept before the next order is worked out."""
     names = ("accepted", "rejected")
-    total = t.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
-    p = {c: F.lit(1.0 / ALPHABET) for c in names}
+    counts = {order: grams}
+    for k in range(order - 1, -1, -1):
+        counts[k] = checkpoint(counts[k + 1].groupBy(F.substring("gram", 2, k + 1).alias("gram")).agg(*(F.sum(c).alias(c) for c in names)))
+    shorter = None
     for k in range(order + 1):
-        end, ctx = f"e{k}", f"c{k}"
-        t = t.withColumn(end, F.substring("gram", order - k + 1, k + 1))
-        ends = t.groupBy(end).agg(*(F.sum(c).alias(f"n_{c}") for c in names))
-        t = t.join(ends, end)
+        now = counts[k].withColumn("context", F.substring("gram", 1, k))
+        contexts = checkpoint(now.groupBy("context").agg(*(F.sum(c).alias(f"t_{c}") for c in names), *(F.count_if(F.col(c) > 0).alias(f"d_{c}") for c in names)))
+        t = now.join(contexts, "context")
         if k:
-            ends = ends.withColumn(ctx, F.substring(end, 1, k))
-            contexts = ends.groupBy(ctx).agg(*(F.sum(f"n_{c}").alias(f"t_{c}") for c in names), *(F.count_if(F.col(f"n_{c}") > 0).alias(f"d_{c}") for c in names))
-            t = t.withColumn(ctx, F.substring(end, 1, k)).join(contexts, ctx)
+            t = t.withColumn("end", F.substring("gram", 2, k)).join(shorter.withColumnRenamed("gram", "end"), "end")
         else:
-            distinct = ends.agg(*(F.count_if(F.col(f"n_{c}") > 0).alias(c) for c in names)).first()
-            for c in names:
-                t = t.withColumn(f"t_{c}", F.lit(total[c])).withColumn(f"d_{c}", F.lit(distinct[c]))
-        made = {f"p_{c}": F.when(F.col(f"t_{c}") > 0, (F.col(f"n_{c}") + F.col(f"d_{c}") * p[c]) / (F.col(f"t_{c}") + F.col(f"d_{c}"))).otherwise(p[c]) for c in names}
-        t = t.withColumns(made).drop(end, ctx, *(f"{x}_{c}" for x in "ntd" for c in names))
-        p = {c: F.col(f"p_{c}") for c in names}
-    return t.select("gram", (F.log("p_accepted") - F.log("p_rejected")).alias("ratio"))
+            t = t.withColumns({f"p_{c}": F.lit(1.0 / ALPHABET) for c in names})
+        made = [F.when(F.col(f"t_{c}") > 0, (F.col(c) + F.col(f"d_{c}") * F.col(f"p_{c}")) / (F.col(f"t_{c}") + F.col(f"d_{c}"))).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in names]
+        shorter = checkpoint(t.select("gram", *made))
+    return shorter.select("gram", (F.log("p_accepted") - F.log("p_rejected")).alias("ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -116,17 +117,20 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     base = base.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     role = F.when(F.col("hit").isNull(), 0).when(F.substring(F.md5("text"), 1, 1).isin(*CALIBRATE), 1).otherwise(2)
     base = base.withColumn("role", role).withColumn("accepted", F.col("hit.verdict") == "allow")
-    texts = base.groupBy("text").agg(F.count("*").alias("times"), F.first("role").alias("role"), F.first("accepted").alias("accepted"))
+    texts = checkpoint(base.groupBy("text").agg(F.count("*").alias("times"), F.first("role").alias("role"), F.first("accepted").alias("accepted"))).withColumn("id", F.monotonically_increasing_id())
     train = F.when(F.col("role") == 2, F.col("times")).otherwise(0)
-    exploded = texts.select(F.explode(_grams(F.col("text"), order)).alias("gram"), train.alias("n"), "accepted")
+    exploded = texts.where("role = 2").select(F.explode(_grams(F.col("text"), order)).alias("gram"), train.alias("n"), "accepted")
     counted = exploded.groupBy("gram").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("accepted"), F.sum(F.when(~F.col("accepted"), F.col("n")).otherwise(0)).alias("rejected"))
-    ratios = ratio_table(checkpoint(counted), order)
-    hits = texts.select("text", F.explode(_grams(F.col("text"), order)).alias("gram"))
-    score = hits.join(ratios, "gram").groupBy("text").agg(F.round(F.sum("ratio") / F.count("*"), 6).alias("score"))
-    scores = checkpoint(score)
-    labelled = texts.where("role = 1").select("text", "times", "accepted").join(scores, "text")
-    cut = threshold(labelled.select("score", "accepted"))
-    judged = base.join(scores, "text")
+    asked = texts.select("id", F.explode(_grams(F.col("text"), order)).alias("gram"))
+    # grams of the other URLs count nothing, but have a probability
+    wanted = asked.select("gram", F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
+    known = counted.unionByName(wanted.distinct()).groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    ratios = ratio_table(checkpoint(known), order)
+    # a URL's characters carry its number, not its text
+    sums = asked.groupBy("id", "gram").agg(F.count("*").alias("n")).join(ratios, "gram").groupBy("id").agg(F.round(F.sum(F.col("ratio") * F.col("n")) / F.sum("n"), 6).alias("score"))
+    scores = checkpoint(texts.join(sums, "id").select("text", "times", "role", "accepted", "score"))
+    cut = threshold(scores.where("role = 1").select("score", "accepted"))
+    judged = base.join(scores.select("text", "score"), "text")
     verdict = F.coalesce("hit.verdict", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "score", F.lit(cut).alias("threshold"))
 

@@ -15,8 +15,11 @@ there are buckets, or seconds in one.
 
 Defined results: a record without URL or time, and a revisit before any
 response, stays `unresolved`; of several responses of one URL and second the
-largest record_id counts; repeated revisit rows give repeated results; null
-headers are no headers; times are whole seconds.
+largest record_id counts; of rows that repeat a response's record_id the least
+in order of validators, headers and payload; repeated revisit rows give repeated
+results; null headers are no headers, an empty payload is one; a payload of any
+length is passed on whole; times are whole seconds; no records give no rows;
+only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmesh.llm.common import checkpoint, partitions
+
+#: Revisits of one response that a task joins with it.
+CROWD = 256
 #: Header fields that a 304 answer may update (RFC 9110, 15.4.5), and Last-Modified.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
@@ -85,7 +92,14 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     asked = revisits.where("url is not null and time is not null")
     found = as_of(asked.select("url", "time"), full.select("url", "time", "record_id")).withColumnRenamed("record_id", "refers_to")
     held = full.groupBy("record_id").agg(F.min(F.struct("etag", "last_modified", "digest", F.map_entries("headers").alias("entries"), "payload")).alias("full")).withColumnRenamed("record_id", "refers_to")
-    j = revisits.join(found, ["url", "time"], "left").join(held, "refers_to", "left")
+    met = checkpoint(revisits.join(checkpoint(found), ["url", "time"], "left"))
+    # a response that many revisits refer to is copied, and they are dealt over the copies
+    most = partitions(r.sparkSession)
+    crowd = met.where("refers_to is not null").groupBy("refers_to").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowd = checkpoint(crowd.select("refers_to", F.least(F.ceil(F.col("n") / CROWD).cast("int"), F.lit(most)).alias("copies")))
+    met = met.join(crowd, "refers_to", "left").withColumn("copy", F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("record_id"), "copies").cast("int"))).drop("copies")
+    held = held.join(crowd, "refers_to", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    j = met.join(held, ["refers_to", "copy"], "left")
     wrong = _differs(_weak(F.col("etag")), _weak(F.col("full.etag"))) | _differs(F.col("last_modified"), F.col("full.last_modified")) | _differs(F.col("digest"), F.col("full.digest"))
     outcome = F.when(F.col("refers_to").isNull(), "unresolved").when(wrong, "mismatch").otherwise("resolved")
     new = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
