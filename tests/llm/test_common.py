@@ -65,3 +65,22 @@ def test_session_settings(spark):
     assert C.small_batches(df) is df
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b") == str(C.BATCH_BYTES)
     assert C.buckets_for(spark, 1, 2) == 4 and C.checkpoint(df).count() == 1
+
+
+def test_hashes_in_steps(monkeypatch):
+    r = random.Random(5)
+    raw = bytes(r.choice(b"ab  \ncdefgh") for _ in range(500)) + b"x" * 200 + b" end"
+    buf, off = np.frombuffer(raw, np.uint8), np.array([0, 100, 100, 350, len(raw)])
+    start, end, _ = C.words(buf, off)
+    want, codes = C.word_hashes(buf, start, end, lower=True), C.run_hashes(None, buf.astype(np.uint32), start, end, C._BASE, C._BASE_INV)
+    for step in (1, 7, 64, 10_000):
+        monkeypatch.setattr(C, "CHUNK_BYTES", step)
+        assert (C.word_hashes(buf, start, end, lower=True) == want).all()
+        assert (C.run_hashes(None, buf.astype(np.uint32), start, end, C._BASE, C._BASE_INV) == codes).all()
+    words = [raw[a:b] for a, b in zip(start, end, strict=True)]
+    assert len(set(want.tolist())) == len(set(words))
+
+
+def test_unused_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "key int, key_ int, Copy int")
+    assert C.unused(df, "key", "copy", "other", "other") == ["key__", "copy_", "other", "other_"]

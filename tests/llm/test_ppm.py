@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from textmesh.llm import ppm
 from textmesh.llm.ppm import END, START, held_out_fold, score_documents
 
 
@@ -101,3 +102,15 @@ def test_longer_contexts_help_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     total = [sum(r.score for r in score_documents(docs, held_out_fold(), k).collect() if r.held_out) for k in (0, 2)]
     assert total[1] > 0.8 * total[0]
+
+
+def test_long_texts_in_parts():
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    for n in (0, 1, 9, 40, 41, 100):
+        buf = np.array([r.randrange(256) for _ in range(n)], np.uint8)
+        off = np.array([0, n])
+        assert np.concatenate([*ppm.gram_parts(buf, off, 5, 10)]).tolist() == ppm.gram_codes(buf, off, 5).tolist()

@@ -200,6 +200,37 @@ def test_near_copies_are_found_and_decided_exactly(spark):
     assert {x.doc_id for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == brute_kept(rows)
 
 
+ODD = ["__index_level_0__", "__copy", "__is_toxic", "__shard", "copy", "kept", "grouped", "key", "marks", "low", "root", "id", "h", "fp", "bands", "__kept_text", "Key_", "p_toxic", "a b", "x`y"]
+
+
+def odd(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("doc_id", *(F.lit(k).alias(c) for k, c in enumerate(ODD)), "text", F.length("text").alias("n_chars"))
+
+
+def test_columns_of_any_name_pass_all_stages(spark):
+    import corpus_pipeline as P
+
+    df = odd(spark, [*EDGE, (16, text(90, 5) + " vile"), (17, leak_rows()[0][1]), (18, text(30, 8) + " " + BASE)])
+    labels = spark.createDataFrame([(16, 1, 0), (17, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, key int")
+    for f in (lambda d: toxicity.drop_toxic(d, labels), simhash.drop_near_duplicates, substring.strip_repeats, lambda d: decontam.drop_contaminated(d, bench)):
+        for d in (df, df.limit(0)):
+            out = f(d)
+            assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
+            got = out.collect()
+            assert all(r["x`y"] == len(ODD) - 1 and r["__copy"] == 1 for r in got) and bool(got) == (d is df)
+    for name, stage in P.STAGES[1:3]:
+        assert stage(spark, df, None).columns == df.columns, name
+    assert spiece.encode_checked(df).count() == df.count() and spiece.encode_checked(df.limit(0)).collect() == []
+
+
+def test_rows_without_id_that_share_a_passage(spark):
+    rows = [(None, f"{text(30, k)} {BASE} {text(20, k + 50)}") for k in range(40)] + [(5, f"{text(9, 200 + k)} {BASE}") for k in range(20)] + [(3, BASE)] * 3
+    out = substring.remove_repeats(frame(spark, rows).repartition(5))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()), key=key) == brute_removal(rows, 50)
+
+
 SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -211,6 +242,74 @@ def test_sketch():
 # 7: images
 
 
+def plain_feature(samples):
+    """The hash by definition: means of 32 x 32 cells, cosine sums, median."""
+    from math import cos, pi
+
+    h, w = len(samples), len(samples[0])
+    cut = lambda n: [(k * n // 32, max(k * n // 32 + 1, (k + 1) * n // 32)) for k in range(32)]
+    small = [[sum(samples[y][x] for y in range(a, b) for x in range(c, d)) / ((b - a) * (d - c)) for c, d in cut(w)] for a, b in cut(h)]
+    wave = [[cos(pi / 32 * u * (x + 0.5)) for x in range(32)] for u in range(8)]
+    half = [[sum(small[y][x] * wave[v][x] for x in range(32)) for v in range(8)] for y in range(32)]
+    low = [round(sum(half[y][v] * wave[u][y] for y in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = [x > middle for x in low]
+    return f"{int(''.join('01'[b] for b in bits), 2):016x}"
+
+
+def test_media_query(spark, tmp_path):
+    rows = [*EDGE, (501, "héé €" * 99), (502, "a" * 64), (503, "b" * 65), (504, "\n".join(text(30, k) for k in range(40)))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in png_media.op7_media(spark, str(tmp_path)).collect()), key=key)
+    want, used = [], set()
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        samples = [list(payload[a : a + 64]) for a in range(0, len(payload), 64)]
+        blob = png_media.encode_png(payload)
+        used |= set(png_media.read_chunks(blob)[1].tolist())
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), plain_feature(samples)))
+    assert got == sorted(want, key=key) and len(used) > 3
+
+
+def test_filters_have_the_least_sums():
+    rows = np.random.default_rng(8).integers(60, 120, (20, 64), dtype=np.uint8)
+    lines = png_media.filtered(rows, np.arange(20) % 7 == 0)
+    for k in range(20):
+        up = rows[k - 1].astype(int) if k % 7 else np.zeros(64, int)
+        left, corner, x = np.concatenate(([0], rows[k][:-1])).astype(int), np.concatenate(([0], up[:-1])), rows[k].astype(int)
+        nearest = np.array([min((abs(a + b - c - v), i, v) for i, v in enumerate((a, b, c)))[2] for a, b, c in zip(left, up, corner, strict=True)])
+        sums = [np.abs(((x - g + 128) % 256) - 128).sum() for g in (0, left, up, (left + up) // 2, nearest)]
+        assert lines[k, 0] == int(np.argmin(sums))
+
+
+def test_damaged_images():
+    import struct
+
+    blob = png_media.encode_png(bytes(range(64)) * 5)
+    for at in range(len(blob)):
+        for bit in (1, 128):
+            with pytest.raises(ValueError):
+                png_media.decode_png(blob[:at] + bytes([blob[at] ^ bit]) + blob[at + 1 :])
+        with pytest.raises(ValueError):
+            png_media.decode_png(blob[:at])
+    chunk, sign = png_media._chunk, blob[:8]
+    head = struct.pack(">IIBBBBB", 64, 5, 8, 0, 0, 0, 0)
+    lines = zlib.compress(b"\0" * 325)
+    good = sign + chunk(b"IHDR", head) + chunk(b"tEXt", b"hi") + chunk(b"IDAT", lines[:9]) + chunk(b"IDAT", lines[9:]) + chunk(b"IEND", b"")
+    assert not png_media.decode_png(good).any()
+    for bad in (
+        sign + chunk(b"IHDR", head[:-1]) + chunk(b"IDAT", lines) + chunk(b"IEND", b""), sign + chunk(b"IHDR", head) * 2 + chunk(b"IDAT", lines) + chunk(b"IEND", b""),
+        sign + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"\5" * 325)) + chunk(b"IEND", b""), sign + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"\0" * 326)) + chunk(b"IEND", b""),
+        sign + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 5, 16, 0, 0, 0, 0)) + chunk(b"IDAT", lines) + chunk(b"IEND", b""), sign + chunk(b"IHDR", head) + chunk(b"ABCD", b"") + chunk(b"IDAT", lines) + chunk(b"IEND", b""),
+        sign + chunk(b"IHDR", head) + chunk(b"IEND", b""), sign, b"",
+    ):
+        with pytest.raises(ValueError):
+            png_media.decode_png(bad)
+    got = png_media.decode_all([good, None, bad, blob, png_media.encode_png(bytes(range(40)) * 3, width=40)])
+    assert [type(x) for x in got] == [np.ndarray, ValueError, ValueError, np.ndarray, np.ndarray] and got[4].tobytes() == bytes(range(40)) * 3
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters(kind):
     data = np.random.default_rng(kind).integers(0, 256, 64 * 41, dtype=np.uint8).tobytes()
@@ -256,6 +355,31 @@ def test_bpe_gives_the_library_ids():
     assert m.decode(at, ids.astype(np.int64)) == TEXTS == lib.decode(lib.encode(TEXTS))
 
 
+def test_long_words_are_searched_in_blocks():
+    r = random.Random(21)
+    chinese = "".join(chr(r.randint(0x4E00, 0x4E00 + 400)) for _ in range(4000))
+    plain = "".join(r.choice(VOCAB) for _ in range(3000))
+    texts = [chinese, plain, "a" * 1000, "ab" * 777, "x" + "the" * 500, plain[:97], plain[:193], plain[:128] + "𝒳" * 70 + plain[:200], "http" + "s" * 300 + plain[:40], *(plain[k : k + 96 + 13 * k] for k in range(1, 20))]
+    m, lib = spiece.load().prepare(), sentencepiece.SentencePieceProcessor(model_file=spiece.MODEL)
+    at, ids = m.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode(texts)
+    assert m.merged < 0.1 * sum(map(len, texts))
+
+
+def test_remembered_words(monkeypatch):
+    monkeypatch.setattr(spiece, "MEMORY", 60)
+    m, lib = spiece.load().prepare(), sentencepiece.SentencePieceProcessor(model_file=spiece.MODEL)
+    for k in range(20):
+        part = TEXTS[k % 7 :: 7] + [text(20, k // 2)]
+        at, ids = m.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode(part)
+    monkeypatch.setattr(spiece, "MEMORY", 1 << 22)
+    for part in (TEXTS, TEXTS[::-1], TEXTS):
+        at, ids = m.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode(part)
+    assert len(m.met) == len(m.met_at) == len(m.met_n) and (np.diff(m.met.astype(object)) > 0).all()
+
+
 def _field(number, kind, value):
     head = bytes([number << 3 | kind])
     return head + (bytes([len(value) & 127 | 128, len(value) >> 7]) + value if kind == 2 else value)
@@ -420,6 +544,49 @@ def test_kernel_rows():
     assert np.allclose(k.rows(np.frombuffer(b"".join(texts), np.uint8), off), want, atol=1e-6)
 
 
+def test_kernel_rows_in_parts(monkeypatch):
+    texts = [text(60, k).encode() for k in range(9)]
+    k, buf = langid.Kernel(texts), np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    want = k.rows(buf, off)
+    monkeypatch.setattr(langid, "STEP_BYTES", 37)
+    assert (k.rows(buf, off) == want).all()
+
+
+def plain_language(texts, labels, asked, ridge):
+    """One-versus-rest kernel ridge over Nystroem features, by definition."""
+    spectrum = lambda t: {(n, t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    low = lambda t: t.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    marks = [spectrum(low(t)) for t in texts]
+    shared = {g for g in set().union(*marks) if sum(g in m for m in marks) >= 2}
+    kernel = lambda a, b: len(a & b & shared) / np.sqrt(max(1, len(a & shared)) * max(1, len(b & shared)))
+    own = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(own)
+    keep = value > 1e-6 * value.max()
+    root = vector[:, keep] / np.sqrt(value[keep])
+    x = np.column_stack((own @ root, np.ones(len(marks))))
+    names = sorted(set(labels))
+    y = np.array([[1.0 if v == n else -1.0 for n in names] for v in labels])
+    w = np.linalg.lstsq(np.vstack((x, np.sqrt(ridge) * np.eye(x.shape[1]))), np.vstack((y, np.zeros((x.shape[1], len(names))))), rcond=None)[0]
+    out = []
+    for t in asked:
+        z = np.append(np.array([kernel(spectrum(low(t)), m) for m in marks]) @ root, 1.0) @ w
+        out.append((names[int(z.argmax())], min(1.0, max(0.0, (1 + z.max()) / 2))))
+    return out
+
+
+def test_language_against_plain_code(spark):
+    r = random.Random(31)
+    kinds = {"aa": "abcde ", "bb": "cdefg ", "cc": "aegxy "}
+    known = [(k, "".join(r.choice(c) for _ in range(r.randint(5, 60))) + "a", v) for k, (v, c) in enumerate(list(kinds.items()) * 12)]
+    asked = [(100 + k, "".join(r.choice(r.choice(list(kinds.values()))) for _ in range(30)) + "A") for k in range(20)]
+    df = spark.createDataFrame([*known, *((i, t, None) for i, t in asked)], "doc_id long, text string, lang string")
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(df, F.lit(True)).collect()}
+    want = plain_language([t for _, t, _ in known], [v for *_, v in known], [t for _, t in asked], langid.RIDGE)
+    for (i, _), (v, s) in zip(asked, want, strict=True):
+        assert got[i][1] == pytest.approx(s, abs=2e-3) and (got[i][0] == v or abs(s - 0.5) < 0.05)
+
+
 def test_kernel_keeps_all_shared_grams():
     r = np.random.default_rng(3)
     text = r.integers(128, 256, 150_000, dtype=np.uint8)

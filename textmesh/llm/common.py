@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step takes at once; longer documents go alone.
@@ -55,17 +55,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; null counts as empty text."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = column.cast(pa.large_string()).fill_null("")
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    if data is None or not len(column):
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, off, data = texts.buffers()
+    offsets = np.frombuffer(off, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    if data is None or not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     buf = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
     return buf, offsets - offsets[0]
 
@@ -103,7 +99,7 @@ def run_hashes(values: np.ndarray | None, buf: np.ndarray, starts: np.ndarray, e
         first = np.maximum(starts[a:b], lo) - lo
         part = (prefix[np.minimum(ends[a:b], hi) - lo] - prefix[first]) * powers(inverse, hi - lo)[first]
         if starts[a] < lo:
-            part[0] *= np.uint64(pow(int(base), int(lo - starts[a]), 1 << 64))
+            part[:1] *= np.uint64(pow(int(base), int(lo - starts[a]), 1 << 64))
         h[a:b] += part
     return h
 
@@ -140,6 +136,24 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs for whose texts keep(bytes, offsets) is true.  Columns
+    go by number meanwhile, as Python functions can't take every name."""
+    at = docs.columns.index("text")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(it):
+        for batch, buf, off in batches(it, text=f"c{at}"):
+            yield batch.filter(pa.array(keep(buf, off)))
+
+    return small_batches(numbered).mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
 def batches(it, limit: int = CHUNK_BYTES, text: str = "text"):
     """(slice of the record batch, bytes, offsets) in steps of bounded size."""
     for batch in it:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import _LOWER, batches, mix64, run_hashes, runs, small_batches
+from textmesh.llm.common import _LOWER, batches, kept_rows, mix64, run_hashes, runs, small_batches
 from textmesh.llm.substring import window_hashes
 
 K1, B = 1.2, 0.75
@@ -275,13 +275,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ov
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """docs without the rows that hold a verified item."""
     index = docs.sparkSession.sparkContext.broadcast(build(benchmark, threshold))
-
-    def run(it):
-        for batch, buf, off in batches(it):
-            keep = [not i for i, _ in _matches(index.value, buf, off, overlap)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return kept_rows(docs, lambda buf, off: [not i for i, _ in _matches(index.value, buf, off, overlap)])
 
 
 def op3_decontamination(spark, sf_dir):

@@ -15,7 +15,11 @@ kernel rows are computed on the executors.
 Defined results: null text and text without a letter are `und` with score 0,
 and so is everything if nothing can be learnt; the score is (1 + the largest
 regression output) / 2, cut to 0..1; equal outputs go to the first language in
-order; of rows that repeat a doc_id with other texts one is learnt from.
+order; of rows that repeat a doc_id with other texts one is learnt from, and all
+are judged; an empty table gives an empty one; other columns, whatever their
+names, are ignored.  A text of any length is read in steps; the landmarks'
+texts, the only ones that the driver reads, are among those of at most
+`LANDMARK_BYTES`, if there are any.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ LANDMARKS = 128
 SAMPLE = 3000
 RIDGE = 0.05
 STEP_BYTES = 1 << 20
+#: Bytes of a text that becomes a landmark.
+LANDMARK_BYTES = 1 << 20
 #: Cells of a presence matrix that is made at once.
 CELLS = 1 << 25
 
@@ -43,17 +49,17 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return np.frombuffer(buf.tobytes().translate(LOWER_TABLE), np.uint8)
 
 
-def grams(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, code) of every n-gram inside a document."""
-    if len(buf) < n:
-        z = np.zeros(0, np.int64)
-        return z, z
-    code = np.zeros(len(buf) - n + 1, np.int64)
+def grams(buf: np.ndarray, off: np.ndarray, n: int, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, code) of every n-gram inside a document that begins at lo or
+    later and before hi."""
+    hi = max(lo, min(len(buf) - n + 1, len(buf) if hi is None else hi))
+    code = np.zeros(hi - lo, np.int64)
     for k in range(n):
-        code = (code << 8) | buf[k : len(buf) - n + 1 + k]
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    inside = doc[: len(code)] == doc[n - 1 :]
-    return doc[: len(code)][inside], code[inside]
+        code = (code << 8) | buf[lo + k : hi + k]
+    at = np.arange(lo, hi)
+    doc = np.searchsorted(off, at, side="right") - 1
+    inside = at + n <= off[doc + 1]
+    return doc[inside], code[inside]
 
 
 class Kernel:
@@ -98,9 +104,10 @@ class Kernel:
         present = np.zeros((len(off) - 1, self.width + 1), np.float32)
         flat = present.ravel()
         for n, table in enumerate(self.columns, 1):
-            doc, code = grams(buf, off, n)
-            col = table[code].astype(np.int64)
-            flat[doc * (self.width + 1) + np.minimum(col, self.width)] = 1
+            for lo in range(0, len(buf), STEP_BYTES):
+                doc, code = grams(buf, off, n, lo, lo + STEP_BYTES)
+                col = table[code].astype(np.int64)
+                flat[doc * (self.width + 1) + np.minimum(col, self.width)] = 1
         present = present[:, : self.width]
         size = np.maximum(present.sum(axis=1, keepdims=True), 1)
         return (present @ self.landmarks) / np.sqrt(size)
@@ -119,8 +126,9 @@ def fit(kernel: Kernel, rows: np.ndarray, labels: np.ndarray, ridge: float = RID
 
 
 def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(_LETTERS[buf])))
-    out = total[off[1:]] > total[off[:-1]]
+    out, some = np.zeros(len(off) - 1, bool), np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = np.logical_or.reduceat(_LETTERS[buf], off[some])
     for i in np.flatnonzero(~out):
         out[i] = any(c.isalpha() for c in buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
@@ -128,15 +136,17 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _sample(learnt: DataFrame, sample: int, landmarks: int):
     """Ids of the sample, and of the landmarks, spread over the languages."""
-    rows = learnt.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).collect()
-    lang = {}
+    rows = learnt.groupBy("doc_id", "lang").agg(F.max("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).collect()
+    lang, size = {}, {}
     for r in rows:
         lang.setdefault(r.doc_id, r.lang)
+        size[r.doc_id] = max(size.get(r.doc_id, 0), r.size)
+    small = [i for i in lang if size[i] <= LANDMARK_BYTES] or list(lang)
     queues = {}
-    for i, v in lang.items():
-        queues.setdefault(v, []).append(i)
+    for i in small:
+        queues.setdefault(lang[i], []).append(i)
     chosen, depth = [], 0
-    while len(chosen) < min(landmarks, len(lang)):
+    while len(chosen) < min(landmarks, len(small)):
         chosen += [q[depth] for _, q in sorted(queues.items()) if depth < len(q)]
         depth += 1
     return lang, chosen[:landmarks]
@@ -148,7 +158,7 @@ def identify(docs: DataFrame, learn: Column, sample: int = SAMPLE, landmarks: in
     spark = docs.sparkSession
     base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnt = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
-    lang, chosen = _sample(learnt.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")), sample, landmarks)
+    lang, chosen = _sample(learnt.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.octet_length("text").alias("size")), sample, landmarks)
     if not lang:
         return base.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     pick = learnt.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

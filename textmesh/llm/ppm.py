@@ -22,8 +22,11 @@ The base score needs the count of every word.  Words that are at least one of
 every `TOP` tokens, so at most `TOP` words, are broadcast; the others are joined.
 
 Defined results: null text is the empty text; a null doc_id is not held out;
-repeated rows are repeated; without training documents all symbols are equally
-likely and base scores are log10(1 / (0 + 1 * 1)) = 0; other columns are ignored.
+repeated rows are repeated, and counted as often if they are learnt from; a
+long text is counted and scored in parts, over all its bytes; without training
+documents all symbols are equally likely and base scores are
+log10(1 / (0 + 1 * 1)) = 0; an empty table gives an empty one; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches, checkpoint, ids_of, partitions, planes, small_batches, spark_hash, unplanes, word_hashes, words
+from textmesh.llm.common import CHUNK_BYTES, batches, checkpoint, ids_of, partitions, planes, small_batches, spark_hash, unplanes, word_hashes, words
 
 ORDER = 5
 #: Words that are one of so many tokens or more are broadcast: no more words than this number.
@@ -71,6 +74,17 @@ def gram_codes(buf: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     return code[at - order]
 
 
+def gram_parts(buf: np.ndarray, off: np.ndarray, order: int, limit: int = CHUNK_BYTES):
+    """gram_codes, in several parts if a text alone is much longer than limit."""
+    if len(off) != 2 or len(buf) <= 2 * limit:
+        yield gram_codes(buf, off, order)
+        return
+    for lo in range(0, len(buf), limit):
+        hi, a = min(len(buf), lo + limit), max(0, lo - order)
+        code = gram_codes(buf[a:hi], np.array([0, hi - a]), order)
+        yield code[lo - a : len(code) if hi == len(buf) else -1]
+
+
 def _count_grams(order: int):
     """(gram, n) of a task's documents: a direct-mapped table counts most
     grams, the others are sorted batch by batch."""
@@ -79,8 +93,7 @@ def _count_grams(order: int):
     def run(it):
         slots = 1 << _CACHE_BITS
         owner, counts = np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
-        for _, buf, off in batches(it):
-            code = gram_codes(buf, off, order)
+        for code in (part for _, buf, off in batches(it) for part in gram_parts(buf, off, order)):
             slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
             free = owner[slot] == -1
             owner[slot[free]] = code[free]
@@ -238,7 +251,7 @@ def _ask(order: int, shards: int):
 
         for batch, buf, off in batches(it):
             held.append(batch)
-            grams.append(_kinds(gram_codes(buf, off, order)))
+            grams += [_kinds(part) for part in gram_parts(buf, off, order)]
             size += len(buf)
             if size >= BLOCK:
                 yield from block()
@@ -324,11 +337,13 @@ def _scored_texts(it, order: int, shards: int):
         place[:] = 0
         place[slot_of(g)] = np.arange(len(g))
         for batch, buf, off in batches(docs.to_batches()):
-            code = gram_codes(buf, off, order)
-            at = place[slot_of(code)].astype(np.int64)
-            other = np.flatnonzero(g[at] != code)
-            at[other] = np.searchsorted(g, code[other])
-            yield batch, buf, off, np.add.reduceat(logs[at], off[:-1] + np.arange(len(off) - 1))
+            sums = []
+            for code in gram_parts(buf, off, order):
+                at = place[slot_of(code)].astype(np.int64)
+                other = np.flatnonzero(g[at] != code)
+                at[other] = np.searchsorted(g, code[other])
+                sums.append(np.add.reduceat(logs[at], off[:-1] + np.arange(len(off) - 1)) if len(code) == len(buf) + len(off) - 1 else logs[at].sum(keepdims=True))
+            yield batch, buf, off, sum(sums)
 
 
 def _dealt_scores(base: DataFrame, learnt: DataFrame, order: int, rare: int | None):

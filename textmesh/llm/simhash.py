@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, components, mix64, partitions, small_batches, unused, word_hashes, words
+from textmesh.llm.common import LOWER_TABLE, batches, checkpoint, column, components, mix64, partitions, small_batches, unused, word_hashes, words
 from textmesh.llm.substring import window_hashes
 
 SHINGLE = 4
@@ -470,7 +470,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMIL
     own, stays, grouped = unused(docs, "copy", "kept", "grouped")
     decided = checkpoint(member.join(checkpoint(kept), "root").select(F.col("copy").alias(own), F.col("kept").alias(stays), F.lit(True).alias(grouped)))
     j = docs.withColumn(own, copy).join(decided, own, "left")
-    return j.where(F.col(grouped).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(stays))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return j.where(F.col(grouped).isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col(stays))).select(*(column(c) for c in docs.columns))
 
 
 def op9_simhash(spark, sf_dir):

@@ -4,16 +4,20 @@ Texts are cut before every run of spaces (no piece of the model goes on past
 one), distinct words of a batch are grouped by length, and all words of one
 length advance together: at each position the hashes of the substrings that
 end there probe the sorted keys of the pieces, and vectorised maxima over the
-pieces' values store backpointers.
+pieces' values store backpointers.  A process remembers the ids of the words
+it has met, up to `MEMORY` ids, and searches only for new ones; words are told
+apart by 64 bits of hash.
 
 For a unigram model the value of a path is the sum of its pieces' scores.  For
 a BPE model that sum is not what merging gives, so an edge of the lattice is
 open only if its piece is compatible with the last piece of the path it
 extends: two neighbours are compatible if no merge over their border comes
 before the merges inside them.  Exactly one path of compatible pieces leads to
-each position, and it is the result of merging.  Runs of several spaces, whose
-pieces some models score out of order, and very long words of BPE models are
-merged with a heap instead; the ids are the same.
+each position, and it is the result of merging.  A word of more than `LONG`
+characters is searched in overlapping blocks of one length that advance
+together, and put together where neighbouring blocks agree.  Runs of several
+spaces, whose pieces some models score out of order, and long words whose
+blocks don't come to agree are merged with a heap; the ids are the same.
 
 Characters without a piece become byte pieces, or the unknown id where the
 model has none.  Only models with the identity normaliser are accepted.
@@ -36,15 +40,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import batches, mix64, powers, small_batches
+from textmesh.llm.common import batches, mix64, powers, run_hashes, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 STEP_BYTES = 2 << 20
 #: Longer words of BPE models are merged with a heap.
 LONG = 96
+#: Ids that a process remembers of words met before.
+MEMORY = 1 << 22
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 SPACE = 0x2581
+_NO_CHARACTER = 0x110000
 
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -116,6 +123,7 @@ class Model:
         if any("▁" in p.lstrip("▁") for p in self.pieces) or USER in self.types:
             raise ValueError("pieces over several words aren't supported")
         self.kind, self.prefix = kind, prefix
+        self.merged = 0  # characters that were merged with a heap
         self.unk = self.types.index(UNKNOWN)
         usable = [i for i, t in enumerate(self.types) if t == NORMAL]
         self.index = {self.pieces[i]: i for i in usable}
@@ -219,11 +227,43 @@ class Model:
         return [x for x in ids if x != -2], last
 
     def prepare(self) -> Model:
-        """Per process: a direct-mapped memory of tested neighbours."""
+        """Per process: a direct-mapped memory of tested neighbours, and the ids
+        of words met before, sorted by hash."""
         self.seen = np.full(1 << 20, -1, np.int64)
         self.fits = np.zeros(1 << 20, bool)
+        self._forget()
         return self
 
+    def _forget(self) -> None:
+        self.met, self.met_at, self.met_n, self.met_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def remembered(self, h: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, number, flat ids) of distinct words, sorted by hash."""
+        at = np.minimum(np.searchsorted(self.met, h), max(len(self.met) - 1, 0))
+        new = self.met[at] != h if len(self.met) else np.ones(len(h), bool)
+        place, number = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        place[~new], number[~new] = self.met_at[at[~new]], self.met_n[at[~new]]
+        unknown = np.flatnonzero(new)
+        if not len(unknown):
+            return place, number, self.met_ids
+        number[unknown], ids = self.words(codes, start[unknown], size[unknown])
+        place[unknown] = len(self.met_ids) + np.cumsum(number[unknown]) - number[unknown]
+        flat = np.concatenate((self.met_ids, ids))
+        if len(flat) > MEMORY or len(self.met) > MEMORY // 4:
+            self._forget()
+        elif int(size[unknown].max()) <= LONG:
+            into = np.searchsorted(self.met, h[unknown])
+            self.met, self.met_at, self.met_n = (np.insert(old, into, x[unknown]) for old, x in ((self.met, h), (self.met_at, place), (self.met_n, number)))
+            self.met_ids = flat
+        else:  # long words are seldom met again
+            kept = unknown[size[unknown] <= LONG]
+            into = np.searchsorted(self.met, h[kept])
+            own = ids[np.repeat(place[kept] - len(self.met_ids) - (np.cumsum(number[kept]) - number[kept]), number[kept]) + np.arange(number[kept].sum())]
+            where = len(self.met_ids) + np.cumsum(number[kept]) - number[kept]
+            self.met, self.met_at, self.met_n = (np.insert(old, into, x) for old, x in ((self.met, h[kept]), (self.met_at, where), (self.met_n, number[kept])))
+            self.met_ids = np.concatenate((self.met_ids, own))
+        return place, number, flat
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         pair = a.astype(np.int64) * (self.n + 2) + b
         slot = (mix64(pair.view(np.uint64)) & np.uint64((1 << 20) - 1)).astype(np.int64)
@@ -259,37 +299,88 @@ class Model:
         value = (codes.T.astype(np.uint64) + np.uint64(1)) * powers(_BASE, size)[:, None]
         prefix = np.zeros((size + 1, n), np.uint64)
         np.cumsum(value, axis=0, out=prefix[1:])
-        inv = powers(_INV, size + 1)
+        inv, mask = powers(_INV, size + 1), np.uint64((1 << 20) - 1)
+        # the edges of the lattices: pieces of each length, wherever they begin
+        rows, pieces, ends, lengths = [], [], [], []
+        for k in range(1, min(size, self.longest) + 1):
+            key = mix64((prefix[k:] - prefix[:-k]) * inv[: size - k + 1, None] + np.uint64(k)).ravel()
+            cell = np.flatnonzero(self.sieve[(key & mask).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, key[cell]), len(self.keys) - 1)
+            found = self.keys[at] == key[cell]
+            cell, piece = cell[found], self.key_ids[at[found]].astype(np.int64)
+            if k == 1:
+                whole = np.full(size * n, self.n, np.int64)
+                whole[cell] = piece
+                cell, piece = np.arange(size * n), whole
+            rows.append(cell % n)
+            ends.append(cell // n + k)
+            pieces.append(piece)
+            lengths.append(np.full(len(cell), k))
+        row, piece, end, length = (np.concatenate(x) for x in (rows, pieces, ends, lengths))
+        order = np.argsort(end, kind="stable")  # shorter pieces first
+        row, piece, length = row[order], piece[order], length[order]
+        cuts = np.searchsorted(end[order], np.arange(1, size + 2))
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0
         last = np.full((size + 1, n), self.n + 1, np.int64)
         back = np.zeros((size + 1, n), np.int64)
-        bpe, mask = self.kind == BPE, np.uint64((1 << 20) - 1)
         for i in range(1, size + 1):
-            for k in range(min(i, self.longest), 0, -1):  # of equal values the longest last piece stays
-                j = i - k
-                key = mix64((prefix[i] - prefix[j]) * inv[j] + np.uint64(k))
-                row = np.flatnonzero(self.sieve[(key & mask).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.keys, key[row]), len(self.keys) - 1)
-                found = self.keys[at] == key[row]
-                row, at = row[found], at[found]
-                piece = self.key_ids[at].astype(np.int64)
-                if k == 1 and len(row) < n:
-                    lone = np.ones(n, bool)
-                    lone[row] = False
-                    lone = np.flatnonzero(lone)
-                    row, piece = np.concatenate((row, lone)), np.concatenate((piece, np.full(len(lone), self.n)))
-                if not len(row):
-                    continue
-                if bpe:
-                    new = np.where(self.compatible(last[j, row], piece) & (best[j, row] == 0), 0.0, -np.inf)
-                else:
-                    new = best[j, row] + np.where(piece == self.n, self.unk_score, self.score[np.minimum(piece, self.n - 1)])
-                better = new > best[i, row]
-                row = row[better]
-                best[i, row], last[i, row], back[i, row] = new[better], piece[better], k
+            part = slice(cuts[i - 1], cuts[i])
+            r, x, k = row[part], piece[part], length[part]
+            if self.kind == BPE:
+                open_ = np.flatnonzero(best[i - k, r] == 0)
+                open_ = open_[self.compatible(last[i - k[open_], r[open_]], x[open_])]
+                r, x, k, new = r[open_], x[open_], k[open_], 0.0
+            else:
+                new = best[i - k, r] + np.where(x == self.n, self.unk_score, self.score[np.minimum(x, self.n - 1)])
+                by = np.lexsort((k, new))
+                r, x, k, new = r[by], x[by], k[by], new[by]
+            # of several edges the last one stays: the greatest value, of equal ones the longest piece
+            best[i, r], last[i, r], back[i, r] = new, x, k
         return last, back
 
+    def long_word(self, codes: np.ndarray) -> np.ndarray | None:
+        """Ids of a long word of a BPE model (n and more: lone characters), from
+        searches over overlapping blocks that advance together; None if two
+        blocks don't come to agree.
+
+        What a prefix ends with depends on what the last `longest` shorter ones
+        end with.  So where a search that began at a block's start agrees for so
+        many positions with the one before it, it agrees from there on."""
+        over = 2 * self.longest
+        step = max(LONG, over)
+        starts = np.arange(0, len(codes), step)
+        padded = np.concatenate((codes, np.full(step + over, _NO_CHARACTER, codes.dtype)))
+        last, back = np.empty(len(codes) + 1, np.int64), np.empty(len(codes) + 1, np.int64)
+        each = max(1, (1 << 18) // (step + over))
+        tail = None  # of the block before: what it found over the border
+        for lo in range(0, len(starts), each):
+            at = starts[lo : lo + each]
+            found, length = self.viterbi(padded[at[:, None] + np.arange(step + over)])
+            for k, s in enumerate(at.tolist()):
+                mine = found[1:, k], length[1:, k]
+                end = min(step + over, len(codes) - s)
+                first = 0
+                if tail is not None:
+                    seen = min(over, end)
+                    same = (tail[0][:seen] == mine[0][:seen]) & (tail[1][:seen] == mine[1][:seen])
+                    run = np.convolve(same, np.ones(self.longest, int), "valid") if seen >= self.longest else np.zeros(0, int)
+                    agreed = np.flatnonzero(run == self.longest)
+                    if len(agreed):
+                        first = int(agreed[0])
+                    elif end <= over:  # the block before went on to the end
+                        break
+                    else:
+                        return None
+                last[s + 1 + first : s + 1 + end], back[s + 1 + first : s + 1 + end] = mine[0][first:end], mine[1][first:end]
+                tail = last[s + 1 + step : s + 1 + step + over], back[s + 1 + step : s + 1 + step + over]
+        ids, i = [], len(codes)
+        last, back = last.tolist(), back.tolist()
+        while i > 0:
+            ids.append(last[i] if last[i] != self.n else self.n + int(codes[i - 1]))
+            i -= back[i]
+        return np.array(ids[::-1], np.int64)
+
     def words(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> list:
         """Ids of each word as (counts, flat ids) in the given order."""
         n = len(start)
@@ -300,8 +391,12 @@ class Model:
         slow = (runs | (size > LONG)) if self.kind == BPE else np.zeros(n, bool)
         for w in np.flatnonzero(slow):
             text = codes[start[w] : start[w] + size[w]]
-            ids, _ = self._merge([self.index.get(chr(c), -1 - int(c) - 10) for c in text])
-            flat.append(np.array([self.n - 11 - x if x < 0 else x for x in ids], np.int64))
+            ids = None if runs[w] else self.long_word(text)
+            if ids is None:
+                made, _ = self._merge([self.index.get(chr(c), -1 - int(c) - 10) for c in text])
+                ids = np.array([self.n - 11 - x if x < 0 else x for x in made], np.int64)
+                self.merged += len(text)
+            flat.append(ids)
             owner.append(np.full(len(ids), w))
             place.append(np.arange(len(ids)))
         fast = np.flatnonzero(~slow)
@@ -359,11 +454,9 @@ class Model:
         cut[begin[size > 0]] = True
         start = np.flatnonzero(cut)
         length = np.diff(np.append(start, len(codes)))
-        value = (codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(codes))
-        h = mix64(np.add.reduceat(value, start) * powers(_INV, len(codes))[start] + length.astype(np.uint64))
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        count, ids = self.words(codes, start[first], length[first])
-        at = np.cumsum(count) - count
+        h = mix64(run_hashes(None, codes, start, start + length, _BASE, _INV) + length.astype(np.uint64))
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at, count, ids = self.remembered(distinct, codes, start[first], length[first])
         each = count[which]
         out = ids[np.repeat(at[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
         doc = np.searchsorted(np.cumsum(size), start, side="right")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from textmesh.llm.common import batches, buckets_for, checkpoint, ids_of, mix64, partitions, planes, powers, small_batches, unplanes, unused, word_hashes, words
+from textmesh.llm.common import batches, buckets_for, checkpoint, column, ids_of, mix64, partitions, planes, powers, small_batches, unplanes, unused, word_hashes, words
 
 WINDOW = 50
 #: Windows that a task reduces among themselves before it writes them.
@@ -278,7 +278,7 @@ def _parted(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, str]:
     keyed = docs.withColumn(key, _key())
     there = may_have_marks(F.col(key))
     met = keyed.where(there).join(found.withColumnsRenamed({"key": key, "marks": marks}), key, "left")
-    return keyed.where(~there).drop(key), met.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(marks)), marks
+    return keyed.where(~there).drop(key), met.select(*(column(c) for c in docs.columns), F.col(marks)), marks
 
 
 def _marked(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -326,7 +326,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(_kept(ws, gone).decode() if gone.any() else t)
         return pa.array(out, pa.string())
 
-    cut = met.select(*(kept(F.col("text").cast("string"), F.col(marks)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    cut = met.select(*(kept(F.col("text").cast("string"), F.col(marks)).alias("text") if c == "text" else column(c) for c in docs.columns))
     return clean.unionByName(cut) if len(set(docs.columns)) == len(docs.columns) else clean.union(cut)
 
 

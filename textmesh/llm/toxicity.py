@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmesh.llm.common import _LOWER, batches, mix64, run_hashes, runs, small_batches
+from textmesh.llm.common import _LOWER, batches, kept_rows, mix64, run_hashes, runs, small_batches
 
 #: (name, condition over the columns of labels) in the chain's order.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
@@ -218,12 +218,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, category: str = "toxic", cate
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, sample))
     k = [n for n, _ in categories].index(category)
 
-    def run(it):
+    def keep(buf, off):
         models, cuts = chain.value
-        for batch, buf, off in batches(it):
-            yield batch.filter(pa.array(_probabilities(models, buf, off)[:, k] < cuts[k]))
+        return _probabilities(models, buf, off)[:, k] < cuts[k]
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return kept_rows(docs, keep)
 
 
 def op1_toxicity(spark, sf_dir):
