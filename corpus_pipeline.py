@@ -1,7 +1,15 @@
 """Five corpus operators in a row over `documents`.
 
 Each stage takes the rows that its predecessor kept; all but the last return
-the columns of documents.
+the columns of documents, whatever others there are and whatever their names.
+
+Defined results: a null or empty text passes toxicity (unless the model's
+constant says otherwise) and decontamination, is one group with the other texts
+without words in near-dedup, loses nothing in substring dedup and has no ids.
+Of near-duplicates the document with the smallest doc_id stays; rows that
+repeat it stay with it, and a row without doc_id only if its group has none.
+Repeated rows are otherwise judged alike.  Texts of any length go whole.  An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -57,9 +65,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result but the last is written to the shared folder, so
-    that a lost executor costs one stage's tasks at most."""
+    that a lost executor costs one stage's tasks at most.  A stage's input is
+    removed once its result is written; what the last stage reads stays."""
     base = f"{checkpoint_base(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -67,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{k}")
             docs = spark.read.parquet(f"{base}/{k}")
+            if k:
+                _remove(spark, f"{base}/{k - 1}")
     return docs
