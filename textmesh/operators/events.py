@@ -99,15 +99,45 @@ def digest(events: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.concat(F.lit("multiset64:"), wrap("total"), F.lit(":"), F.lower(F.lpad(F.hex(F.coalesce(F.bit_xor("x"), F.lit(0))), 16, "0")), F.lit(":"), wrap("squares")).alias("digest"))
 
 
+def _fold(h: int, pattern_id: int, start: int, end: int) -> int:
+    for byte in pattern_id.to_bytes(4, "little") + start.to_bytes(8, "little") + end.to_bytes(8, "little"):
+        h = ((h ^ byte) * 0x100000001B3) & ((1 << 64) - 1)
+    return h
+
+
 def ordered_digest(events: list[tuple[int, int, int]]) -> str:
-    """FNV-1a over events in the given order; for tests."""
+    """FNV-1a over events in the given order."""
     h = 0xCBF29CE484222325
-    for pattern_id, start, end in events:
-        for byte in pattern_id.to_bytes(4, "little") + start.to_bytes(8, "little") + end.to_bytes(8, "little"):
-            h = ((h ^ byte) * 0x100000001B3) & ((1 << 64) - 1)
+    for e in events:
+        h = _fold(h, *e)
     return f"{h:016x}"
 
 
+def ordered_digests(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The ordered digest of each text's events, in order of pattern and start.
+    Events stream past in this order; only the hash so far is held."""
+    kind = events.select(*keys).schema
+    names = [*keys, "digest"]
+
+    def run(it):
+        now, h = None, 0
+        for batch in it:
+            out = []
+            for *key, pattern_id, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        out.append((*now, f"{h:016x}"))
+                    now, h = key, 0xCBF29CE484222325
+                h = _fold(h, pattern_id, start, end)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=names)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, f"{h:016x}")], names=names)
+
+    ordered = events.select(*keys, "pattern_id", "start", "end").repartition(*keys).sortWithinPartitions(*keys, "pattern_id", "start", "end")
+    return ordered.mapInArrow(run, kind.add("digest", "string"))
+
+
 #: Rows up to which a group is ordered as a whole by `upper_median`.
 SMALL_GROUP = 10_000
 

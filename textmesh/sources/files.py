@@ -51,7 +51,7 @@ def read_corpus(spark: SparkSession, path: str, ascii_only: bool = True) -> Data
 def read_word_patterns(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The first n words of a list in byte order, as literal patterns with the
     ids 1 to n: lines are trimmed, blank and repeated ones dropped."""
-    words = spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct().orderBy("word").limit(n).collect()
+    words = spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("word")).where("word <> ''").distinct().orderBy("word").limit(n).collect()
     if len(words) < n:
         raise ValueError(f"the list has {len(words)} words, not {n}")
     return spark.createDataFrame([(k, escape(r.word)) for k, r in enumerate(words, 1)], "pattern_id long, pattern string")
