@@ -259,26 +259,17 @@ def _kept(ws: list[bytes], gone: np.ndarray) -> bytes:
     return b" ".join(compress(ws, (~gone).tolist())) if gone.any() else b" ".join(ws)
 
 
-def _parted(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, str]:
-    """(rows that surely have no marks, other rows with their marks, the name
-    of the marks' column, which is last)."""
-    spark = docs.sparkSession
-    key, marks = unused(docs, "key", "marks")
-    found = checkpoint(removed_windows(docs, window))
-    shared = spark.sparkContext.broadcast(key_filter(found.select("key")))
+def _may_have_marks(words_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for at in _places(keys, len(words_) << 6):
+        out &= (words_[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return out
 
-    @arrow_udf("boolean")
-    def may_have_marks(keys: pa.Array) -> pa.Array:
-        words_, at = shared.value, _places(keys.to_numpy(zero_copy_only=False), len(shared.value) << 6)
-        out = np.ones(len(keys), bool)
-        for a in at:
-            out &= (words_[a >> 6] >> (a & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pa.array(out)
 
-    keyed = docs.withColumn(key, _key())
-    there = may_have_marks(F.col(key))
-    met = keyed.where(there).join(found.withColumnsRenamed({"key": key, "marks": marks}), key, "left")
-    return keyed.where(~there).drop(key), met.select(*(column(c) for c in docs.columns), F.col(marks)), marks
+def _found(docs: DataFrame, window: int):
+    """The marks by key, kept, and the shared filter of their keys."""
+    found = checkpoint(removed_windows(docs, window))
+    return found, docs.sparkSession.sparkContext.broadcast(key_filter(found.select("key")))
 
 
 def _marked(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -293,29 +284,51 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     intervals [start, end) of every document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(it):
+    found, shared = _found(base, window)
+    keyed = small_batches(base.select("doc_id", "text", _key().alias("key")))
+
+    def rows(batch, buf, off, marks):
+        data, null = buf.tobytes(), batch.column(1).is_null().to_pylist()
+        n_words, n_removed, digests, kept_text, removed = [], [], [], [], []
+        for i in range(batch.num_rows):
+            raw = data[off[i] : off[i + 1]]
+            ws, gone = _cut_out(raw, marks[i], window)
+            kept, cut = _kept(ws, gone), int(gone.sum())
+            n_words.append(len(ws))
+            n_removed.append(cut)
+            digests.append(hashlib.sha256(kept).hexdigest())
+            kept_text.append((None if null[i] else raw.decode()) if not cut else kept.decode())
+            removed.append(np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2).tolist() if cut else [])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (n_words, n_removed)), pa.array(digests, pa.string()), pa.array(kept_text, pa.string()), pa.array(removed, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed"])
+
+    # each path asks the filter in the Python function that it has anyway
+    def without_marks(it):
+        for batch in it:
+            batch = batch.filter(pa.array(~_may_have_marks(shared.value, batch.column(2).to_numpy())))
+            for part, buf, off in batches([batch]):
+                yield rows(part, buf, off, [[]] * part.num_rows)
+
+    def may_have(it):
+        for batch in it:
+            yield batch.filter(pa.array(_may_have_marks(shared.value, batch.column(2).to_numpy())))
+
+    def with_marks(it):
         for batch, buf, off in batches(it):
-            data, null, marks = buf.tobytes(), batch.column(1).is_null().to_pylist(), _marked(batch) if batch.num_columns > 2 else [[]] * batch.num_rows
-            n_words, n_removed, digests, kept_text, removed = [], [], [], [], []
-            for i in range(batch.num_rows):
-                raw = data[off[i] : off[i + 1]]
-                ws, gone = _cut_out(raw, marks[i], window)
-                kept, cut = _kept(ws, gone), int(gone.sum())
-                n_words.append(len(ws))
-                n_removed.append(cut)
-                digests.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append((None if null[i] else raw.decode()) if not cut else kept.decode())
-                removed.append(np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2).tolist() if cut else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (n_words, n_removed)), pa.array(digests, pa.string()), pa.array(kept_text, pa.string()), pa.array(removed, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed"])
-
-    clean, met, _ = _parted(base, window)
-    return small_batches(clean).mapInArrow(run, _REMOVED).unionByName(met.mapInArrow(run, _REMOVED))
+            yield rows(batch, buf, off, _marked(batch))
+
+    met = keyed.mapInArrow(may_have, keyed.schema).join(found, "key", "left").select("doc_id", "text", "marks")
+    return keyed.mapInArrow(without_marks, _REMOVED).unionByName(met.mapInArrow(with_marks, _REMOVED))
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the kept words, joined by one space, as text; a text that
     loses nothing stays as it is."""
-    clean, met, marks = _parted(docs, window)
+    key, marks = unused(docs, "key", "marks")
+    found, shared = _found(docs, window)
+
+    @arrow_udf("boolean")
+    def may_have_marks(keys: pa.Array) -> pa.Array:
+        return pa.array(_may_have_marks(shared.value, keys.to_numpy(zero_copy_only=False)))
 
     @arrow_udf("string")
     def kept(text: pa.Array, found: pa.Array) -> pa.Array:
@@ -326,6 +339,10 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(_kept(ws, gone).decode() if gone.any() else t)
         return pa.array(out, pa.string())
 
+    keyed = docs.withColumn(key, _key())
+    there = may_have_marks(F.col(key))
+    clean = keyed.where(~there).drop(key)
+    met = keyed.where(there).join(found.withColumnsRenamed({"key": key, "marks": marks}), key, "left")
     cut = met.select(*(kept(F.col("text").cast("string"), F.col(marks)).alias("text") if c == "text" else column(c) for c in docs.columns))
     return clean.unionByName(cut) if len(set(docs.columns)) == len(docs.columns) else clean.union(cut)
 
