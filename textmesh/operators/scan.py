@@ -44,6 +44,21 @@ def _share(df_or_spark, matcher: Matcher):
     return spark.sparkContext.broadcast(matcher)
 
 
+#: Matchers of a Python worker by their keys, the last used last: queries with
+#: the same patterns go on with the states that were made before.
+_KNOWN: dict = {}
+KNOWN = 4
+
+
+def _local(shared) -> Matcher:
+    m = shared.value
+    got = _KNOWN.pop(m.key, m)
+    _KNOWN[m.key] = got
+    while len(_KNOWN) > KNOWN:
+        _KNOWN.pop(next(iter(_KNOWN)))
+    return got
+
+
 def _steps(column: pa.Array):
     """(units, row offsets) of the column, in steps of bounded size."""
     units, rows = utf16_batch(column)
@@ -168,7 +183,7 @@ def events_udf(spark, matcher: Matcher):
 
     @arrow_udf(EVENTS)
     def find_events(column: pa.Array) -> pa.Array:
-        return _event_list(shared.value, column)
+        return _event_list(_local(shared), column)
 
     return find_events
 
@@ -179,7 +194,7 @@ def members_udf(spark, matcher: Matcher):
 
     @arrow_udf("array<bigint>")
     def find_members(column: pa.Array) -> pa.Array:
-        return _member_list(shared.value, column)
+        return _member_list(_local(shared), column)
 
     return find_members
 
@@ -190,7 +205,7 @@ def leftmost_udf(spark, matcher: Matcher):
 
     @arrow_udf(EVENTS)
     def find_leftmost(column: pa.Array) -> pa.Array:
-        return _event_list(shared.value, column, _leftmost)
+        return _event_list(_local(shared), column, _leftmost)
 
     return find_leftmost
 
@@ -202,7 +217,7 @@ def counts_udf(spark, matcher: Matcher):
 
     @arrow_udf(COUNTS)
     def count_events(column: pa.Array) -> pa.Array:
-        return _count_list(shared.value, column)
+        return _count_list(_local(shared), column)
 
     return count_events
 
@@ -267,7 +282,7 @@ def matched_text(df: DataFrame, matcher: Matcher, column: str = "text", keys: li
 
     @arrow_udf(kind)
     def with_text(col: pa.Array) -> pa.Array:
-        got = _event_list(shared.value, col)
+        got = _event_list(_local(shared), col)
         units, rows = utf16_batch(col)
         raw = units.astype("<u2").tobytes()
         row = np.repeat(np.arange(len(col)), np.diff(got.offsets.to_numpy()))
