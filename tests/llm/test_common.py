@@ -84,3 +84,29 @@ def test_hashes_in_steps(monkeypatch):
 def test_unused_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "key int, key_ int, Copy int")
     assert C.unused(df, "key", "copy", "other", "other") == ["key__", "copy_", "other", "other_"]
+
+
+def test_components_together_and_in_rounds(spark):
+    r = random.Random(6)
+    far = [(-(2**63), 2**63 - 1), (5, 5), (7, 7)]
+    edges = [*far, *((i, i + 1) for i in range(100, 220)), *((r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(200)), *((2000, i) for i in range(1950, 2050))]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    a, b = np.array([e for e in edges if e[0] != e[1]], np.int64).T
+    assert dict(zip(*(x.tolist() for x in C.joined(a, b)), strict=True)) == root
+    df = spark.createDataFrame(edges, "a long, b long")
+    for together in (0, C.EDGES):
+        assert sorted((x.node, x.root) for x in C.components(df, together).collect()) == sorted(root.items())
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "few edges")
+    try:
+        C.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"))
+        assert len(sc.statusTracker().getJobIdsForGroup("few")) <= 8
+    finally:
+        sc.setJobGroup("", "")

@@ -696,6 +696,15 @@ def test_all_words_of_long_documents_are_learnt(spark):
     assert h[last] in models[1].words
 
 
+def test_toxicity_is_fitted_away_from_the_driver(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kind, came = type(docs), []
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [came.append(sum(len(v) for v in r if isinstance(v, (bytes, bytearray, str)))) or r for r in real(self)])
+    models, cuts = toxicity.train(docs, labels)
+    assert len(models) == len(cuts) == 2 and len(models[1].words) and sum(came) < 50_000
+
+
 def test_toxicity_edges(spark):
     df = frame(spark, EDGE)
     few = spark.createDataFrame([(1, 1, 1), (2, None, 1), (6, 1, 0), (6, 1, 0), (99, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")

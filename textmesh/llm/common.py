@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of a record batch that Spark hands to Python at most.
 BATCH_BYTES = 8 << 20
+#: Edges whose components one task finds: 8 MB, held a few times over.
+EDGES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -234,11 +236,37 @@ def buckets_for(spark: SparkSession, each: int = 1, least: int = 64, most: int =
     return 1 << (want - 1).bit_length()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the edges; root is the smallest node of
+    its component.  Larger roots go under smaller ones until no edge has two."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[root]
+
+
+def _joined(it):
+    got = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in it]
+    if got:
+        node, root = joined(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        for lo in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (node, root)], names=["node", "root"])
+
+
+def components(edges: DataFrame, together: int = EDGES) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the
     smallest node of its component.
 
-    Alternates large-star and small-star steps: each keeps the components and
+    Up to `together` distinct edges meet in one task, as each query of the
+    rounds below costs the driver threads, plans and garbage, whatever its
+    rows.  More of them take rounds, with the same result.
+
+    A round alternates large-star and small-star steps: each keeps the components and
     never has more edges than before, apart from duplicates, and a logarithmic
     number of rounds is enough in practice.  The minimum at a star's centre is
     a partial aggregate; it is checkpointed before it is joined, so that both
@@ -252,6 +280,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     now = state(e)
+    if now[0] <= together:
+        return checkpoint(e.repartition(1).mapInArrow(_joined, "node long, root long"))
     while now[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = checkpoint(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))

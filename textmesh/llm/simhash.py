@@ -438,7 +438,7 @@ def similar_texts(texts: DataFrame, read, least: float, distance: int) -> DataFr
     dealt = crowd.join(once, "key").withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "root").join(held, "id")
     more = dealt.groupBy("key", "lo", "hi").applyInArrow(_crowd(least), "a long, b long")
-    return components(found.unionByName(more))
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY, distance: int = PROPOSE) -> DataFrame:

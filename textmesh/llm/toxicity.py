@@ -13,7 +13,7 @@ uses the `WORDS` words whose presence differs most between its classes.
 
 The models are fitted on a bounded sample, `SAMPLE` labelled documents with
 the least hash of doc_id; all their distinct word hashes are taken on the
-executors.  Every document is scored over its whole text.
+executors, where one task fits; the driver gets the models.  Every document is scored over its whole text.
 
 Defined results: null and empty texts have no words and get what the constant
 and the earlier categories say; a null label isn't learnt from; without both
@@ -23,11 +23,13 @@ that repeat a doc_id one is learnt from and all are scored, and of labels that
 repeat one the largest counts; a null doc_id is scored; words whose difference
 ties go by their hash; other columns, whatever their names, are kept by
 `drop_toxic` and left out by `classify`.  A text of any length is hashed in
-steps; a sampled text sends its distinct words to the driver.
+steps; a sampled text sends its distinct words to the task that fits.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -174,17 +176,22 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
             out = [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "h"])
 
+    def chain(it):
+        got = sorted((i, h) for batch in it for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if got:
+            words = [np.frombuffer(b, np.uint64) for _, b in got]
+            y = np.array([truth[i] for i, _ in got])
+            folds = (mix64(np.array([i for i, _ in got], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
+            models, cuts, _ = fit_chain(np.array([len(w) for w in words]), np.concatenate(words), y, folds)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((models, cuts))], pa.binary())], names=["chain"])
+
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in truth], "doc_id long"))  # at most `sample` rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
     one = texts.mapInArrow(hashes, "doc_id long, h binary").groupBy("doc_id").agg(F.min("h").alias("h"))
-    got = sorted((r.doc_id, bytes(r.h)) for r in one.collect())
-    if not got:
+    fitted = one.coalesce(1).mapInArrow(chain, "chain binary").collect()  # at most `sample` rows meet in a task
+    if not fitted:
         return [Regression(np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -30.0) for i in range(len(categories))], [0.5] * len(categories)
-    words = [np.frombuffer(b, np.uint64) for _, b in got]
-    y = np.array([truth[i] for i, _ in got])
-    folds = (mix64(np.array([i for i, _ in got], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    models, cuts, _ = fit_chain(np.array([len(w) for w in words]), np.concatenate(words), y, folds)
-    return models, cuts
+    return pickle.loads(fitted[0].chain)
 
 
 def _probabilities(models, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
