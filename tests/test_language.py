@@ -169,6 +169,32 @@ def test_starts_that_meet(monkeypatch, chunk, meet, visits, budget):
         assert got == sorted((k, *e) for k, t in enumerate(texts) for e in find([(p.pattern_id, p.tree) for p in trees], [ord(c) for c in t]))
 
 
+@pytest.mark.parametrize(("chunk", "meet", "budget"), [(1 << 18, 16, None), (31, 3, None), (9, 1, 2), (50, 5, 4)])
+def test_runs_of_a_state(monkeypatch, chunk, meet, budget):
+    for name, value in (("CHUNK", chunk), ("MEET", meet), ("RUNNING", 0), ("SPARSE", 3), ("LONG", 2)):
+        monkeypatch.setattr(automaton, name, value)
+    rng = random.Random(chunk)
+    for patterns in ([r"[^\n]+", ".+"], [r"\b[ab]+\b", "a.*"], ["x.*b", "x[^\n]*$"], ["([ab]+ )+", "[ab]+( [ab]+)*", "b*a.*"], [".+", "a+", r"^[^ ]+", "(aa)*b", "[^a]+b*"]):
+        trees = [parse(k, p) for k, p in enumerate(patterns)]
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for letters in ("aaaaab", "aaaaaabbbbb \n", "ab    ", "a", "aaaaaaaaaaaax\n")]
+        m = Matcher(trees, budget)
+        units = np.array([ord(c) for t in texts for c in t], np.uint16)
+        rows = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        want = sorted((k, *e) for k, t in enumerate(texts) for e in find([(p.pattern_id, p.tree) for p in trees], [ord(c) for c in t]))
+        for _ in range(2):  # the second time with the states that are known
+            start, ordinal, end = m.events(units, rows)
+            row = np.searchsorted(rows, start, side="right") - 1
+            assert sorted(zip(row.tolist(), m.ids[ordinal].tolist(), (start - rows[row]).tolist(), (end - rows[row]).tolist(), strict=True)) == want
+
+
+def test_long_lines_take_few_steps():
+    m = MatcherBuilder().add(1, r"[^\n]+").add(2, ".+").build()
+    units = np.frombuffer((("x" * 4999 + "\n") * 80).encode("utf-16-le"), "<u2")
+    start, ordinal, end = m.events(units, np.array([0, len(units)]))
+    assert np.bincount(ordinal).tolist() == [4999 * 80, 5000 * 80] and (end[ordinal == 1] == len(units)).all() and (end[ordinal == 0] == start[ordinal == 0] // 5000 * 5000 + 4999).all()
+    assert m.automata[0].counters["steps"] < 100
+
+
 def test_long_matches_take_little_memory_and_time():
     import resource
 

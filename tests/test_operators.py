@@ -225,6 +225,24 @@ def test_counts_and_members_in_small_parts(spark, monkeypatch):
     assert {(k, x) for k, row in enumerate(sc._member_list(m, table).to_pylist()) for x in row} == set(want)
 
 
+def test_extents_and_events_by_step(spark, monkeypatch):
+    r = random.Random(9)
+    df = spark.createDataFrame([(k, r.choice([None, "", "ab \n" * 40, *["".join(r.choice("abc \n") for _ in range(r.randint(0, 90))) for _ in range(9)]])) for k in range(50)], "id long, text string")
+    m = matcher(".+", r"[^\n]+", r"\bb.", "ab|abc a")
+    for events, leftmost in ((sc.scan(df, m), False), (sc.scan_leftmost(df, m), True)):
+        want = rows(events.groupBy("id", "pattern_id").agg(F.count("*"), F.sum(F.col("end") - F.col("start"))))
+        assert rows(sc.extents(df, m, leftmost=leftmost)) == want
+        table = pa.array([x.text for x in df.orderBy("id").collect()])
+        for cells in (1 << 22, 0):
+            monkeypatch.setattr(sc, "CELLS", cells)
+            monkeypatch.setattr(sc, "STEP_UNITS", 100)
+            monkeypatch.setattr(automaton, "CHUNK", 30)
+            parts = list(sc._count_lists(m, table, True, sc._leftmost if leftmost else None))
+            assert len(parts) > 5 and sum(map(len, parts)) == 50
+            assert [(k, *x.values()) for k, row in enumerate(y for p in parts for y in p.to_pylist()) for x in row] == want
+            monkeypatch.undo()
+
+
 def test_hash_columns():
     h = ev.event_hashes(np.array([1]), np.array([0]), np.array([3]))
     assert f"{int(h[0]):016x}" == ev.ordered_digest([(1, 0, 3)])

@@ -3,10 +3,13 @@
 The matcher is broadcast and evaluated by an Arrow UDF over one column, so
 filters on the other columns and column pruning still reach the scan below,
 and nothing is shuffled.  A row is a complete text; null gives no events.
+Events leave the worker in arrays of a step's rows, not of a record batch's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,8 +24,9 @@ from textmesh.plans.matcher import Matcher
 
 EVENTS = "array<struct<pattern_id: bigint, start: bigint, end: bigint>>"
 COUNTS = "array<struct<pattern_id: bigint, n: bigint>>"
-#: Code units that one step of a batch scans; a longer text goes alone.
-STEP_UNITS = 4 << 20
+EXTENTS = "array<struct<pattern_id: bigint, n: bigint, units: bigint>>"
+#: Code units that one step of a batch scans, whose events are held together; a longer text goes alone.
+STEP_UNITS = 1 << 20
 #: Bytes of a record batch that Spark hands to Python at most; a longer text goes alone.
 BATCH_BYTES = 8 << 20
 #: Cells (text, pattern) of a step that are counted in one array.
@@ -31,7 +35,7 @@ CELLS = 1 << 22
 
 def bounded(df: DataFrame) -> DataFrame:
     """df, in a session whose record batches have `BATCH_BYTES` at most, as a
-    batch's events are held together."""
+    batch's texts are held together."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name).lower().removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
@@ -77,20 +81,22 @@ def _lists(kind: list[str], size: list, *columns) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(cat(x), pa.int64()) for x in columns], names=kind))
 
 
-def _event_list(matcher: Matcher, column: pa.Array, choose=None) -> pa.Array:
-    """choose: the places of the events (row, ordinal, start, end) to keep."""
-    size, ids, starts, ends = [], [], [], []
+def _step_events(matcher: Matcher, column: pa.Array, choose=None):
+    """Of each step: its units, its row offsets, the events of each row, and of
+    each event ordinal, start and end.  choose: the places of the events
+    (ordinal, start, end) to keep."""
     for lo, hi, units, rows in _steps(column):
         start, ordinal, end = matcher.events(units, rows)
-        row = np.searchsorted(rows, start, side="right") - 1
         if choose is not None:
-            at = choose(row, ordinal, start, end)
-            start, ordinal, end, row = start[at], ordinal[at], end[at], row[at]
-        size.append(np.bincount(row, minlength=hi - lo))
-        ids.append(matcher.ids[ordinal])
-        starts.append(start - rows[row])
-        ends.append(end - rows[row])
-    return _lists(["pattern_id", "start", "end"], size, ids, starts, ends)
+            at = choose(ordinal, start, end)
+            start, ordinal, end = start[at], ordinal[at], end[at]
+        row = np.searchsorted(rows, start, side="right") - 1
+        yield units, rows, np.bincount(row, minlength=hi - lo), ordinal, start - rows[row], end - rows[row]
+
+
+def _event_lists(matcher: Matcher, column: pa.Array, choose=None):
+    for _, _, size, ordinal, start, end in _step_events(matcher, column, choose):
+        yield _lists(["pattern_id", "start", "end"], [size], [matcher.ids[ordinal]], [start], [end])
 
 
 def _by_id(matcher: Matcher):
@@ -100,34 +106,53 @@ def _by_id(matcher: Matcher):
     return matcher.ids[by_id], rank
 
 
-def _count_list(matcher: Matcher, column: pa.Array) -> pa.Array:
-    """The events of one chunk of starts are held at a time."""
-    size, found, counts = [], [], []
+def _parts(matcher: Matcher, units: np.ndarray, rows: np.ndarray, choose=None):
+    """The events of a step: of one chunk of starts at a time, or those chosen."""
+    if choose is None:
+        for automaton in matcher.automata:
+            yield from automaton.scan_chunks(units, rows)
+    else:
+        start, ordinal, end = matcher.events(units, rows)
+        at = choose(ordinal, start, end)
+        yield start[at], ordinal[at], end[at]
+
+
+def _count_lists(matcher: Matcher, column: pa.Array, extent: bool = False, choose=None):
+    """The events of one chunk of starts are held at a time.  extent: also how
+    many units they cover."""
     ids, rank = _by_id(matcher)
     k = len(ids)
     for lo, hi, units, rows in _steps(column):
-        dense = np.zeros((hi - lo) * k, np.int64) if (hi - lo) * k <= CELLS else None
-        cells, times = [], []
-        for automaton in matcher.automata:
-            for start, ordinal, _ in automaton.scan_chunks(units, rows):
-                cell = (np.searchsorted(rows, start, side="right") - 1) * k + rank[ordinal]
-                if dense is not None:
-                    dense += np.bincount(cell, minlength=len(dense))
-                else:
-                    c, n = np.unique(cell, return_counts=True)
-                    cells.append(c)
-                    times.append(n)
+        dense = [np.zeros((hi - lo) * k, np.int64) for _ in range(1 + extent)] if (hi - lo) * k <= CELLS else None
+        cells, parts = [], [[] for _ in range(1 + extent)]
+        for start, ordinal, end in _parts(matcher, units, rows, choose):
+            cell = (np.searchsorted(rows, start, side="right") - 1) * k + rank[ordinal]
+            if dense is None:
+                c, cell = np.unique(cell, return_inverse=True)
+                cells.append(c)
+            elif len(cell):  # the cells of the rows that the part has
+                first = int(cell.min()) // k * k
+                cell -= first
+            for j, w in enumerate((None, end - start)[: 1 + extent]):
+                # the sum of a part's weights is below 2**53, so it is exact
+                n = np.bincount(cell, w).astype(np.int64)
+                if dense is None:
+                    parts[j].append(n)
+                elif len(n):
+                    dense[j][first : first + len(n)] += n
         if dense is not None:
-            cell = np.flatnonzero(dense)
-            n = dense[cell]
+            cell = np.flatnonzero(dense[0])
+            values = [x[cell] for x in dense]
         else:
-            c, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (cells, times))
-            cell, at = np.unique(c, return_inverse=True)
-            n = np.bincount(at, n, minlength=len(cell)).astype(np.int64)
-        size.append(np.bincount(cell // k, minlength=hi - lo))
-        found.append(ids[cell % k])
-        counts.append(n)
-    return _lists(["pattern_id", "n"], size, found, counts)
+            cell, at = np.unique(np.concatenate([np.zeros(0, np.int64), *cells]), return_inverse=True)
+            values = [np.zeros(len(cell), np.int64) for _ in parts]
+            for v, n in zip(values, parts, strict=True):
+                np.add.at(v, at, np.concatenate([np.zeros(0, np.int64), *n]))
+        yield _lists(["pattern_id", "n", "units"][: 2 + extent], [np.bincount(cell // k, minlength=hi - lo)], [ids[cell % k]], *([v] for v in values))
+
+
+def _count_list(matcher: Matcher, column: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_lists(["pattern_id", "n"], [], [], []), *_count_lists(matcher, column)])
 
 
 def _member_list(matcher: Matcher, column: pa.Array) -> pa.Array:
@@ -171,10 +196,11 @@ def without_overlap(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return np.array(out)
 
 
-def _leftmost(row, ordinal, start, end):
-    order = np.lexsort((start, ordinal, row))
-    group = np.cumsum(np.diff(row[order], prepend=-1).astype(bool) | np.diff(ordinal[order], prepend=-1).astype(bool))
-    return np.sort(order[without_overlap(group, start[order], end[order])])
+def _leftmost(ordinal, start, end):
+    if not len(start) or ordinal.min() == ordinal.max():
+        return without_overlap(np.zeros(len(start), np.int64), start, end)
+    order = np.argsort(ordinal, kind="stable")
+    return np.sort(order[without_overlap(ordinal[order], start[order], end[order])])
 
 
 def events_udf(spark, matcher: Matcher):
@@ -182,8 +208,9 @@ def events_udf(spark, matcher: Matcher):
     shared = _share(spark, matcher)
 
     @arrow_udf(EVENTS)
-    def find_events(column: pa.Array) -> pa.Array:
-        return _event_list(_local(shared), column)
+    def find_events(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in it:
+            yield from _event_lists(_local(shared), column)
 
     return find_events
 
@@ -204,8 +231,9 @@ def leftmost_udf(spark, matcher: Matcher):
     shared = _share(spark, matcher)
 
     @arrow_udf(EVENTS)
-    def find_leftmost(column: pa.Array) -> pa.Array:
-        return _event_list(_local(shared), column, _leftmost)
+    def find_leftmost(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in it:
+            yield from _event_lists(_local(shared), column, _leftmost)
 
     return find_leftmost
 
@@ -216,12 +244,25 @@ def counts_udf(spark, matcher: Matcher):
     shared = _share(spark, matcher)
 
     @arrow_udf(COUNTS)
-    def count_events(column: pa.Array) -> pa.Array:
-        return _count_list(_local(shared), column)
+    def count_events(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in it:
+            yield from _count_lists(_local(shared), column)
 
     return count_events
 
 
+def extents_udf(spark, matcher: Matcher, leftmost: bool = False):
+    """As counts_udf, with the number of units that the events cover."""
+    shared, choose = _share(spark, matcher), _leftmost if leftmost else None
+
+    @arrow_udf(EXTENTS)
+    def add_up(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in it:
+            yield from _count_lists(_local(shared), column, True, choose)
+
+    return add_up
+
+
 def row_filter(matcher: Matcher, text: Column) -> Column | None:
     """A condition that every text with an event meets: one of the necessary
     literals is in it.  Parquet can test it for row groups and Spark before
@@ -260,6 +301,14 @@ def counts(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str
     return _source(df, matcher, column, False).select(*keys, F.inline(counts_udf(df.sparkSession, matcher)(F.col(column))))
 
 
+def extents(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str] | None = None, leftmost: bool = False) -> DataFrame:
+    """keys, pattern_id, n and units, for each row and pattern with events: how
+    many there are, and the sum of their lengths.  leftmost: of the events that
+    a scan from the left takes without overlap."""
+    keys = [c for c in df.columns if c != column] if keys is None else keys
+    return _source(df, matcher, column, False).select(*keys, F.inline(extents_udf(df.sparkSession, matcher, leftmost)(F.col(column))))
+
+
 def membership(df: DataFrame, matcher: Matcher, column: str = "text", keys: list[str] | None = None) -> DataFrame:
     """keys and the sorted array of the ids that have an event in the row."""
     keys = [c for c in df.columns if c != column] if keys is None else keys
@@ -281,16 +330,16 @@ def matched_text(df: DataFrame, matcher: Matcher, column: str = "text", keys: li
     kind = EVENTS[:-2] + ", matched: string>>"
 
     @arrow_udf(kind)
-    def with_text(col: pa.Array) -> pa.Array:
-        got = _event_list(_local(shared), col)
-        units, rows = utf16_batch(col)
-        raw = units.astype("<u2").tobytes()
-        row = np.repeat(np.arange(len(col)), np.diff(got.offsets.to_numpy()))
-        a = rows[row] + got.values.field(1).to_numpy()
-        b = rows[row] + got.values.field(2).to_numpy()
-        text = pa.array([raw[2 * i : 2 * j].decode("utf-16-le", "replace") for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.string())
-        items = pa.StructArray.from_arrays([*got.values.flatten(), text], names=["pattern_id", "start", "end", "matched"])
-        return pa.ListArray.from_arrays(got.offsets, items)
+    def with_text(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = _local(shared)
+        for column in it:
+            for units, rows, size, ordinal, start, end in _step_events(m, column):
+                raw = units.astype("<u2").tobytes()
+                base = np.repeat(rows[:-1], size)
+                text = pa.array([raw[2 * i : 2 * j].decode("utf-16-le", "replace") for i, j in zip((base + start).tolist(), (base + end).tolist(), strict=True)], pa.string())
+                got = _lists(["pattern_id", "start", "end"], [size], [m.ids[ordinal]], [start], [end])
+                items = pa.StructArray.from_arrays([*got.values.flatten(), text], names=["pattern_id", "start", "end", "matched"])
+                yield pa.ListArray.from_arrays(got.offsets, items)
 
     return _source(df, matcher, column, False).select(*keys, F.inline(with_text(F.col(column))))
 

@@ -261,8 +261,8 @@ _LINES = "SELECT doc_id, length(unnest(string_split(text, chr(10)))) AS n, text
 def unbounded_matches(spark, d):
     """Matches that run to the end of a line or of the text: how many, and how
     many units they cover."""
-    events = sc.scan(table(spark, d, "documents", "doc_id", "text"), matcher([(1, r"[^\n]+"), (2, ".+")]))
-    return events.groupBy("doc_id", "pattern_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("total"))
+    found = sc.extents(table(spark, d, "documents", "doc_id", "text"), matcher([(1, r"[^\n]+"), (2, ".+")]))
+    return found.groupBy("doc_id", "pattern_id").agg(F.sum("n").alias("n"), F.sum("units").alias("total"))
 
 
 @query("leftmost_longest_documents", "SELECT doc_id, CAST(1 AS BIGINT) AS pattern_id, CAST(len(regexp_extract_all(text, '[a-z]+')) AS BIGINT) AS n, CAST(length(regexp_replace(text, '[^a-z]+', '', 'g')) AS BIGINT) AS units FROM documents WHERE regexp_matches(text, '[a-z]')")
