@@ -243,6 +243,36 @@ def test_extents_and_events_by_step(spark, monkeypatch):
             monkeypatch.undo()
 
 
+def test_a_batch_of_words_takes_little_memory():
+    import tracemalloc
+
+    m = matcher("[a-z]+")
+    table = pa.array(["some words of a text " * 100] * 4000)  # 8.4 MB
+    for run in (lambda: sc._count_lists(m, table, True, sc._leftmost), lambda: sc._event_lists(m, table, sc._leftmost), lambda: sc._event_lists(m, table)):
+        tracemalloc.start()
+        n = most = 0
+        for part in run():
+            n, most = n + len(part), max(most, len(part))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 4000 and most < 600 and peak < 200e6  # 432 MB where a batch's events were held together
+
+
+def test_choice_from_the_left(monkeypatch):
+    r = random.Random(3)
+    for few in (0, 3, 64):
+        monkeypatch.setattr(sc, "FEW", few)
+        for _ in range(60):
+            events = sorted({(r.randint(0, 3), r.randint(0, r.choice([20, 900]))) for _ in range(r.randint(0, 900))})
+            events = [(g, a, a + r.randint(1, r.choice([3, 30]))) for g, a in events]
+            want, last = [], {}
+            for k, (g, a, b) in enumerate(events):
+                if a >= last.get(g, 0):
+                    want.append(k)
+                    last[g] = b
+            assert sc.without_overlap(*np.array(events, np.int64).reshape(-1, 3).T).tolist() == want
+
+
 def test_hash_columns():
     h = ev.event_hashes(np.array([1]), np.array([0]), np.array([3]))
     assert f"{int(h[0]):016x}" == ev.ordered_digest([(1, 0, 3)])

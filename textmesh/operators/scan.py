@@ -31,6 +31,8 @@ STEP_UNITS = 1 << 20
 BATCH_BYTES = 8 << 20
 #: Cells (text, pattern) of a step that are counted in one array.
 CELLS = 1 << 22
+#: Chains of events that overlap, of which fewer are followed one by one.
+FEW = 64
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -184,16 +186,37 @@ def _member_list(matcher: Matcher, column: pa.Array) -> pa.Array:
 def without_overlap(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Places of the events that a scan from the left takes in each group;
     events are sorted by group and start, one for each."""
-    if not len(start):
+    n = len(start)
+    if not n:
         return np.zeros(0, np.int64)
     span = int(end.max()) + 1
     key = group * span + start
-    after = np.searchsorted(key, group * span + end).tolist()  # where nothing is left, the next group's first
-    out, at = [], 0
-    while at < len(after):
-        out.append(at)
+    after = np.searchsorted(key, group * span + end)  # where nothing is left, the next group's first
+    # an event that none before it overlaps is taken; a chain of others follows it
+    taken = np.ones(n, bool)
+    taken[1:] = np.maximum.accumulate(after)[:-1] <= np.arange(1, n)
+    at = after[taken]
+    while len(at := at[at < n]) and len(at := at[~taken[at]]):
+        if len(at) < FEW:
+            for first in at.tolist():
+                _follow(after, first, taken)
+            break
+        taken[at] = True
         at = after[at]
-    return np.array(out)
+    return np.flatnonzero(taken)
+
+
+def _follow(after: np.ndarray, at: int, taken: np.ndarray) -> None:
+    """Marks the chain from `at` on, up to an event that is taken."""
+    size = 256
+    while at < len(after) and not taken[at]:
+        lo, own = at, []
+        part, size = after[lo : lo + size].tolist(), min(2 * size, 1 << 16)
+        seen = taken[lo : lo + len(part)].tolist()
+        while at - lo < len(part) and not seen[at - lo]:
+            own.append(at)
+            at = part[at - lo]
+        taken[own] = True
 
 
 def _leftmost(ordinal, start, end):
@@ -357,16 +380,18 @@ def scan_split(df: DataFrame, matcher: Matcher, column: str = "text", keys: list
     reach = None if E.UNBOUNDED in most else int(max(most))
 
     @arrow_udf(EVENTS)
-    def part(col: pa.Array, lo: pa.Array, hi: pa.Array, base: pa.Array) -> pa.Array:
-        size, ids, starts, ends = [], [], [], []
-        for k, (a, b, at) in enumerate(zip(lo.to_pylist(), hi.to_pylist(), base.to_pylist(), strict=True)):
-            units, rows = utf16_batch(col.slice(k, 1))
-            start, ordinal, end = shared.value.events(units, rows, a - at, min(len(units), b - at))
-            size.append([len(start)])
-            ids.append(shared.value.ids[ordinal])
-            starts.append(start + at)
-            ends.append(end + at)
-        return _lists(["pattern_id", "start", "end"], size, ids, starts, ends)
+    def part(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for col, lo, hi, base in it:
+            held, parts = 0, ([], [], [], [])
+            for k, (a, b, at) in enumerate(zip(lo.to_pylist(), hi.to_pylist(), base.to_pylist(), strict=True)):
+                units, rows = utf16_batch(col.slice(k, 1))
+                start, ordinal, end = shared.value.events(units, rows, a - at, min(len(units), b - at))
+                for x, values in zip(parts, ([len(start)], shared.value.ids[ordinal], start + at, end + at), strict=True):
+                    x.append(values)
+                held += b - a
+                if held >= STEP_UNITS or k + 1 == len(col):
+                    yield _lists(["pattern_id", "start", "end"], *parts)
+                    held, parts = 0, ([], [], [], [])
 
     names = _names(df, "units", "lo", "hi", "base")
     kind = df.schema[column].dataType

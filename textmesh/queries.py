@@ -267,8 +267,8 @@ def unbounded_matches(spark, d):
 
 @query("leftmost_longest_documents", "SELECT doc_id, CAST(1 AS BIGINT) AS pattern_id, CAST(len(regexp_extract_all(text, '[a-z]+')) AS BIGINT) AS n, CAST(length(regexp_replace(text, '[^a-z]+', '', 'g')) AS BIGINT) AS units FROM documents WHERE regexp_matches(text, '[a-z]')")
 def leftmost_longest_documents(spark, d):
-    events = sc.scan_leftmost(table(spark, d, "documents", "doc_id", "text"), matcher([(1, "[a-z]+")]))
-    return events.groupBy("doc_id", "pattern_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("units"))
+    found = sc.extents(table(spark, d, "documents", "doc_id", "text"), matcher([(1, "[a-z]+")]), leftmost=True)
+    return found.groupBy("doc_id", "pattern_id").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
 
 
 @query("sql_function", all_pairs(*_PART, _COLOURS))
